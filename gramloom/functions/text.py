@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,40 +71,28 @@ def strip_tag(c: Column | str) -> Column:
     return F.regexp_extract(as_col(c), r"^\s*<s>\s*(.*?)\s*</s>", 1)
 
 
-# The named character references that are decoded.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&copy;": "©",
-    "&reg;": "®", "&deg;": "°", "&middot;": "·", "&times;": "×",
-    "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç",
-    "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß",
-    "&ntilde;": "ñ", "&aring;": "å", "&aelig;": "æ", "&oslash;": "ø",
-}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"
 
 
-def _decode_number(reference: Column) -> Column:
-    digits = F.regexp_extract(reference, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
-    base = F.when(reference.rlike("^&#[xX]"), F.lit(16)).otherwise(F.lit(10))
-    code = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-    # encode as UTF-32 so that every code point decodes, not only the first 256
-    wide = F.unhex(F.lpad(F.hex(code), 8, "0"))
+def _decode_reference(ref: Column, names: Column) -> Column:
+    body = F.regexp_replace(ref, "^&#?[xX]?|;$", "")
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(body, 16, 10)).when(ref.rlike("^&#"), body).try_cast("bigint")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(wide, "UTF-32")).otherwise(reference)
+    # through UTF-32, so that every code point decodes, not only the first 256
+    number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    named = F.try_element_at(names, F.regexp_replace(ref, "[&;]", ""))
+    return F.coalesce(F.when(valid, number), named, ref)
 
 
 def decode_entities(c: Column | str) -> Column:
-    """Numeric and named character references become characters; '&amp;' is decoded last."""
+    """Numeric and named character references become characters, in one pass; unknown ones stay."""
     text = as_col(c)
-    # even pieces are plain text, odd pieces are references
-    plain = F.split(text, r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};", -1)
-    refs = F.regexp_extract_all(text, F.lit(r"(&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)"), 1)
-    numeric = F.array_join(
-        F.zip_with(plain, refs, lambda p, r: F.concat(p, F.coalesce(_decode_number(r), F.lit("")))), ""
-    )
-    text = F.when(F.instr(text, "&#") > 0, numeric).otherwise(text)
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    between = F.split(text, REFERENCE, -1)
+    refs = F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1))
+    # one more piece than references: the last one is joined to an empty reference
+    pieces = F.zip_with(between, refs, lambda p, r: F.concat(p, F.coalesce(_decode_reference(r, names), F.lit(""))))
+    return F.when(F.instr(text, "&") > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def join_text(cols: Iterable[str], sep: str = " ") -> Column:

@@ -79,10 +79,11 @@ def char_gram_range(c: Column | str, lo: int, hi: int) -> Column:
 
 def char_grams_interleaved(c: Column | str, lo: int, hi: int) -> Column:
     """Grams of orders lo..hi by end position, shorter first."""
-    placed = [
-        F.transform(char_grams(c, n), lambda g, i, n=n: F.struct((i + n).alias("end"), F.lit(n).alias("n"), g.alias("g")))
-        for n in range(lo, hi + 1)
-    ]
+    def placed_grams(n: int) -> Column:
+        place = lambda g, i: F.struct((i + n).alias("end"), F.lit(n).alias("n"), g.alias("g"))
+        return F.transform(char_grams(c, n), place)
+
+    placed = [placed_grams(n) for n in range(lo, hi + 1)]
     merged = placed[0] if len(placed) == 1 else F.sort_array(F.concat(*placed))
     return F.transform(merged, lambda s: s["g"])
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["vocab"]
+FAMILIES = ["vocab", "text"]
 
 
 def load():
