@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["vocab", "text"]
+FAMILIES = ["vocab", "text", "features"]
 
 
 def load():

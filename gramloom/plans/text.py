@@ -187,7 +187,7 @@ def txt_12_key(spark, sf):
 
 @query("txt_13_entities", """
 SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-  '&apos;', ''''), '&nbsp;', chr(160)), '&ndash;', '–'), '&amp;', '&')
+  '&middot;', '·'), '&nbsp;', chr(160)), '&copy;', '©'), '&amp;', '&')
   || chr(CAST(200 + page_id % 9000 AS INTEGER)) || ' ' || chr(CAST(128512 + page_id % 60 AS INTEGER)) AS decoded FROM pages""")
 def txt_13(spark, sf):
     numbers = F.concat("html", F.lit("&#"), (200 + F.col("page_id") % 9000).cast("string"), F.lit("; &#x"),
