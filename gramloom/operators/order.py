@@ -59,20 +59,17 @@ def running_sum(df: DataFrame, value: str, order: list[Column], name: str) -> Da
     )
 
 
-def carry_down(df: DataFrame, col: str, order: list[Column], name: str) -> DataFrame:
-    """Adds the last non-null `col` at or before each row."""
+def carry_down(df: DataFrame, names: dict[str, str], order: list[Column]) -> DataFrame:
+    """Adds, for each source column, the last non-null value at or before the row: {source: new name}."""
     placed = _placed(df, order)
-    last_of = placed.where(F.col(col).isNotNull()).groupBy("_part").agg(F.max_by(col, "_place").alias("_v"))
-    parts = placed.select("_part").distinct().join(last_of, "_part", "left")
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_v_{c}") for c in names]
+    per_part = placed.groupBy("_part").agg(*latest)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select("_part", F.last("_v", ignorenulls=True).over(earlier).alias("_in"))
+    carried = per_part.select("_part", *[F.last(f"_v_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in names])
     local = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_local", F.last(col, ignorenulls=True).over(local))
-        .join(F.broadcast(carried), "_part")
-        .withColumn(name, F.coalesce("_local", "_in"))
-        .drop("_part", "_place", "_local", "_in")
-    )
+    joined = placed.withColumns({f"_l_{c}": F.last(c, ignorenulls=True).over(local) for c in names}).join(F.broadcast(carried), "_part")
+    out = {new: F.coalesce(f"_l_{c}", f"_in_{c}") for c, new in names.items()}
+    return joined.withColumns(out).drop("_part", "_place", *[f"_l_{c}" for c in names], *[f"_in_{c}" for c in names])
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, salt_on: str,

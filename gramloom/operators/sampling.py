@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gramloom.operators.order import global_rank
+from gramloom.operators.order import global_rank, top_n_per_group
 
 
 def place_of(key: str, seed: int) -> Column:
@@ -104,3 +104,15 @@ def sample_dirs(df: DataFrame, path_col: str, n: int, seed: int = 0) -> DataFram
     placed = df.withColumn("_dir", F.regexp_extract(path_col, "^(.*)/[^/]*$", 1))
     placed = placed.withColumn("_h", place_of("_dir", seed))
     return placed.orderBy("_h", "_dir", path_col).limit(n).drop("_h", "_dir")
+
+
+def first_n_per_class(df: DataFrame, c: str, n: int, key: str, total: int | None = None) -> DataFrame:
+    """The first n rows of every class in key order, and of those at most `total` overall."""
+    kept = top_n_per_group(df, [c], [F.col(key)], n, key)
+    return kept if total is None else kept.orderBy(key).limit(total)
+
+
+def top_classes(df: DataFrame, c: str, n: int) -> DataFrame:
+    """Rows of the n most frequent classes."""
+    best = class_counts(df, c).orderBy(F.desc("n"), c).limit(n).select(c)
+    return df.join(F.broadcast(best), c, "left_semi")

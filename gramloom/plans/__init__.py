@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["vocab", "text", "features"]
+FAMILIES = ["vocab", "text", "features", "sampling", "sources"]
 
 
 def load():
