@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["vocab", "text", "features", "sampling", "sources"]
+FAMILIES = ["vocab", "text", "features", "sampling", "sources", "wiki", "streams", "models"]
 
 
 def load():

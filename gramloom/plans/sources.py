@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gramloom.operators import order
@@ -67,17 +71,16 @@ def src_03(spark, sf):
 
 
 @query("src_05_author_conversations", f"""
-SELECT CAST(conv_id AS VARCHAR) AS author_id, 'en' AS lang, '20s' AS age, CAST(turn AS VARCHAR) AS conv_id, split_part({ONE_LINE}, '<', 1) AS content, role AS stored_gender,
-  CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS actual FROM conversations""")
+SELECT conv_id || 't' || turn AS author_id, 'en' AS lang, '20s' AS age, x.i AS conv_id, split_part({ONE_LINE}, '<', 1) AS content, role AS stored_gender, 2 AS actual
+FROM conversations, (VALUES ('c1'), ('c2')) AS x(i)""")
 def src_05(spark, sf):
     conv = spread(table(spark, sf, "conversations"), "conv_id")
-    piece = F.concat(F.lit('<conversation id="'), F.col("turn").cast("string"), F.lit('">'), F.replace(_one_line(), F.lit("&"), F.lit("&amp;")), F.lit("</conversation>"))
-    # a conversation of the table plays an author; its turns are few, as one author's file is one record
-    files = conv.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", piece.alias("x"))))["x"], "\n").alias("inner"), F.max("role").alias("g"), F.count("*").alias("n"))
-    roles = conv.select(F.col("conv_id").cast("string").alias("author_id"), F.col("turn").cast("string").alias("conv_id"), F.col("role").alias("stored_gender"))
-    xml = F.concat(F.lit('<author lang="en" gender="'), "g", F.lit('" age_group="20s">\n<conversations count="'), F.col("n").cast("string"), F.lit('">\n'), "inner", F.lit("\n</conversations></author>"))
-    rows = nw.parse_conversations(files.select(F.concat(F.col("conv_id").cast("string"), F.lit("_en_20s_male.xml")).alias("f"), xml.alias("value")), "value", "f")
-    return rows.select("author_id", "lang", "age", "conv_id", "content", "actual").join(roles, ["author_id", "conv_id"])
+    body = F.replace(_one_line(), F.lit("&"), F.lit("&amp;"))
+    piece = lambda i: F.concat(F.lit(f'<conversation id="{i}">'), body, F.lit("</conversation>\n"))
+    xml = F.concat(F.lit('<author lang="en" gender="'), "role", F.lit('" age_group="20s">\n<conversations count="2">\n'), piece("c1"), piece("c2"), F.lit("</conversations></author>"))
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("t"), F.col("turn").cast("string"), F.lit("_en_20s_male.xml"))
+    rows = nw.parse_conversations(conv.select(name.alias("f"), xml.alias("value")), "value", "f")
+    return rows.select("author_id", "lang", "age", "conv_id", "content", "stored_gender", "actual")
 
 
 @query("src_06_author_documents", f"""
@@ -134,6 +137,13 @@ def src_10(spark, sf):
     return out.select("event_id", F.col("props.k").alias("k"))
 
 
+@query("src_10_json_tree", "SELECT item_id, text FROM benchmark")
+def src_10_tree(spark, sf):
+    path = scratch_path(spark, "tree")
+    table(spark, sf, "benchmark").repartition(4).write.option("maxRecordsPerFile", 1).json(f"{path}/a")
+    return rc.read_json_tree(spark, path, "item_id bigint, text string").select("item_id", "text")
+
+
 @query("src_11_reviews_with_source", "SELECT CAST(doc_id AS VARCHAR) AS asin, text AS \"reviewText\", n_chars * 1.0::DOUBLE AS overall, true AS has_source FROM documents")
 def src_11(spark, sf):
     docs = documents(spark, sf, "doc_id", "text", "n_chars").select(F.col("doc_id").cast("string").alias("asin"), F.col("text").alias("reviewText"), F.col("n_chars").cast("double").alias("overall"))
@@ -193,6 +203,15 @@ def src_16(spark, sf):
     return ln.url_categories(rows).drop("ord")
 
 
+@query("src_17_indexed_texts", f"SELECT trim({ONE_LINE}) AS text, 'p' AS prompt, 'high' AS difficulty FROM benchmark")
+def src_17(spark, sf):
+    path, index = scratch_path(spark, "texts"), scratch_path(spark, "index")
+    table(spark, sf, "benchmark").select(_one_line().alias("value")).repartition(4).write.option("maxRecordsPerFile", 1).text(path)
+    names = spark.read.text(path).select(F.col("_metadata.file_name").alias("f")).distinct()
+    names.select("f", F.lit("p"), F.lit("DE"), F.lit("high")).write.csv(index)
+    return rc.read_indexed_texts(spark, index, path).select(F.regexp_replace("text", r"\s+$", "").alias("text"), "prompt", "difficulty")
+
+
 @query("src_18_class_tables", """
 SELECT source AS title, any_value(lang) AS category, regexp_replace(text, '\\s+', ' ', 'g') AS abstract FROM (
   SELECT *, row_number() OVER (PARTITION BY lang, regexp_replace(text, '\\s+', ' ', 'g') ORDER BY doc_id) AS rn FROM documents WHERE n_chars % 13 > 0) WHERE rn = 1 GROUP BY ALL""")
@@ -232,6 +251,27 @@ def src_22(spark, sf):
     return terms.withColumn("idf", F.round("idf", 6)).withColumn("n_docs", totals.select("n_docs").scalar())
 
 
+@query("src_23_archives", """
+SELECT CAST(doc_id AS VARCHAR) AS archive, 'd/' || doc_id || '.txt' AS name, text, CAST(NULL AS VARCHAR) AS state FROM documents WHERE doc_id % 10 > 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, 'corrupt' FROM documents WHERE doc_id % 10 = 0""")
+def src_23(spark, sf):
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"d/{doc_id}.txt", text)
+                packed.append(out.getvalue() if doc_id % 10 else out.getvalue()[:20])
+            yield pd.DataFrame({"archive": batch["doc_id"].astype(str), "content": packed})
+
+    zips = documents(spark, sf, "doc_id", "text").mapInPandas(pack, "archive string, content binary")
+    entries, corrupt = rc.unpack_archives(zips)
+    good = entries.select("archive", "name", F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("state"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(corrupt.select("archive", none.alias("name"), none.alias("text"), F.lit("corrupt").alias("state")))
+
+
 # ---- sinks ----
 
 def _articles(spark, sf):

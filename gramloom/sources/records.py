@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.operators.filters import dedupe, drop_nulls, is_page
@@ -114,13 +114,11 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, vec array<float>").parquet(path)
 
 
-def explode_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries: archive, name, content; corrupt archives: archive, error) of zip files.
+def unpack_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries: archive, name, content; corrupt archives: archive, error) of zip bytes (archive, content).
 
     An archive is unpacked inside the task that holds its bytes.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    files = files.select(F.regexp_extract("path", "([^/]+)[.]zip$", 1).alias("archive"), "content")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,3 +133,9 @@ def explode_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     rows = files.mapInPandas(unpack, "archive string, name string, content binary, error string")
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("archive", "error")
+
+
+def explode_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and corrupt archives of the zip files in a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return unpack_archives(files.select(F.regexp_extract("path", "([^/]+)[.]zip$", 1).alias("archive"), "content"))
