@@ -74,6 +74,11 @@ def most_common(counts: DataFrame, n: int) -> DataFrame:
     return _top(counts, n, [F.desc("tf"), F.asc("token")])
 
 
+def initial_clusters(counts: DataFrame, n: int) -> DataFrame:
+    """The n most frequent words, which seed the cluster learner; of equal counts the later word comes first."""
+    return _top(counts, n, [F.desc("tf"), F.desc("token")])
+
+
 def cutoff_table(counts: DataFrame, sizes: list[int]) -> DataFrame:
     """Frequency of the token at each vocabulary size that the vocabulary reaches."""
     ranked = global_rank(counts.select("token", "tf"), [F.desc("tf"), F.asc("token")], "size")

@@ -140,6 +140,11 @@ def lim_02(spark, sf):
     return vocab.most_common(_words(spark, sf), 100).select("token", "tf")
 
 
+@query("lim_02_initial_clusters", f"WITH c AS ({WORDS}) SELECT token, tf FROM c ORDER BY tf DESC, token DESC LIMIT 100")
+def lim_02_initial(spark, sf):
+    return vocab.initial_clusters(_words(spark, sf), 100).select("token", "tf")
+
+
 @query("set_03_unique_tokens", f"SELECT doc_id, len(list_distinct({k.words('text')})) AS n_unique FROM documents")
 def set_03(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
