@@ -63,7 +63,10 @@ ACCENTED, UNACCENTED = _accent_pairs()
 
 def strip_accents(c: Column | str) -> Column:
     """Latin, Greek and Cyrillic letters lose their marks; loose combining marks go."""
-    return F.regexp_replace(F.translate(as_col(c), ACCENTED, UNACCENTED), r"\p{Mn}+", "")
+    text = as_col(c)
+    stripped = F.regexp_replace(F.translate(text, ACCENTED, UNACCENTED), r"\p{Mn}+", "")
+    # plain ASCII, told by one byte per character, needs no look-up
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(stripped)
 
 
 def strip_tag(c: Column | str) -> Column:

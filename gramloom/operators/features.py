@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gramloom.operators.joins import join_dictionary, to_clusters, to_vectors
+from gramloom.session import checkpointed
 
 
 def vector_sum(df: DataFrame, key: str, vec: str, weight: Column) -> DataFrame:
@@ -128,17 +129,17 @@ def nb_model(tf: DataFrame, labels: DataFrame, key: str = "doc_id", smoothing: f
     classes = labels.groupBy("label").agg(F.count("*").alias("n"))
     classes = classes.withColumn("idx", F.row_number().over(Window.orderBy("label")) - 1)
     n_docs = labels.agg(F.count("*")).scalar()
-    counts = tf.join(labels, key).groupBy("label", "token").agg(F.sum("tf").alias("n"))
+    counts = checkpointed(tf.join(labels, key).groupBy("label", "token").agg(F.sum("tf").alias("n")))
     n_terms = counts.agg(F.count_distinct("token")).scalar()
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
-    classes = classes.join(totals, "label").select(
-        "label", "idx", F.log(F.col("n") / n_docs).alias("prior"), "total", n_terms.alias("n_terms"))
+    classes = checkpointed(classes.join(totals, "label").select(
+        "label", "idx", F.log(F.col("n") / n_docs).alias("prior"), "total", n_terms.alias("n_terms")))
     per_class = counts.join(F.broadcast(classes), "label")
     sparse = per_class.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("idx", "n"))).alias("by_class"))
     order = classes.agg(F.sort_array(F.collect_list(F.struct("idx", "total", "n_terms")))).scalar()
     model = sparse.withColumn("_c", order).select("token", F.transform("_c", lambda c: F.log(
         (F.coalesce(F.try_element_at("by_class", c["idx"]), F.lit(0)) + smoothing) / (c["total"] + smoothing * c["n_terms"]))).alias("vec"))
-    return classes.select("label", "idx", "prior"), model
+    return classes.select("label", "idx", "prior"), checkpointed(model)
 
 
 def nb_predict(tf: DataFrame, classes: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:

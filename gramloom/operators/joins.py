@@ -7,25 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.session import BROADCAST_ROWS, checkpointed, is_small
+from gramloom.session import BROADCAST_ROWS, checkpointed, is_small, settled
 
 
 def join_dictionary(tokens: DataFrame, dictionary: DataFrame, on: str = "token", rows: int = BROADCAST_ROWS,
-                    share: int = 1000) -> DataFrame:
-    """Inner join of long tokens with a dictionary that has one row per key.
+                    share: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join of long tokens with a dictionary of few rows per key.
 
-    A dictionary of at most `rows` rows is broadcast. For a larger one, keys that hold more than
-    1/share of all tokens (there are fewer than `share` of them) are joined by broadcasting their
-    dictionary rows alone; everything else is shuffled, with no hot key left.
+    A dictionary of at most `rows` rows is broadcast. For a larger one both sides are shuffled; keys
+    that hold more than 1/share of all tokens (there are fewer than `share` of them) are spread over
+    `salts` copies of their dictionary rows.
     """
+    dictionary = settled(dictionary)
     if is_small(dictionary, rows):
         return tokens.join(F.broadcast(dictionary), on)
-    total = tokens.agg(F.count("*")).scalar()
-    hot = checkpointed(tokens.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") * share > total).select(on))
-    hot_rows = dictionary.join(F.broadcast(hot), on, "left_semi")
-    warm = tokens.join(F.broadcast(hot_rows), on)
-    cold = tokens.join(F.broadcast(hot), on, "left_anti").join(dictionary.join(F.broadcast(hot), on, "left_anti"), on)
-    return warm.unionByName(cold)
+    counts = checkpointed(tokens.groupBy(on).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(counts.where(F.col("_n") * share > total).select(on, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*tokens.columns), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = tokens.join(hot, on, "left").withColumn("_s", salt).drop("_hot")
+    right = dictionary.join(hot, on, "left").withColumn("_s", F.explode(copies)).drop("_hot")
+    return left.join(right, [on, "_s"]).drop("_s")
 
 
 def with_truth(df: DataFrame, truth: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -126,13 +129,12 @@ def template_closure(uses: DataFrame, redirects: DataFrame, max_depth: int = 30)
 def page_templates(page_uses: DataFrame, closure: DataFrame, redirects: DataFrame) -> DataFrame:
     """Distinct templates that each page expands to, directly or through other templates.
 
-    A template that a third of all pages use is hot on the page side only, so its few closure rows
-    are packed into one dictionary row per template.
+    A template that a third of all pages use is hot on the page side; the join spreads it.
     """
     direct = redirects.select(F.col("name").alias("template"), "target")
     resolved = page_uses.join(direct, "template", "left").select("page_id", F.coalesce("target", "template").alias("template"))
-    packed = closure.groupBy(F.col("src").alias("template")).agg(F.collect_set("dst").alias("reached"))
-    inner = join_dictionary(resolved.distinct(), packed, "template").select("page_id", F.explode("reached").alias("template"))
+    reached = closure.select(F.col("src").alias("template"), "dst")
+    inner = join_dictionary(resolved.distinct(), reached, "template").select("page_id", F.col("dst").alias("template"))
     return resolved.unionByName(inner).distinct()
 
 

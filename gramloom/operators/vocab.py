@@ -24,7 +24,11 @@ def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 def doc_term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Bag of words in long form: (key, token, tf)."""
-    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    # the array gets a projection of its own, where shared steps of its orders are computed once;
+    # the outer form keeps the optimizer from adding a size test that computes the array again
+    arrays = df.select(key, tokens.alias("_t"))
+    long = arrays.select(key, F.explode_outer("_t").alias("token")).where(F.col("token").isNotNull())
+    return long.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
 def term_stats(df: DataFrame, key: str, tokens: Column, min_count: int = 1, totals: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from gramloom.operators import order, sampling, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
 from gramloom.plans.features import C, CL, TOK, _clusters, top
-from gramloom.plans.text import SENTS, TOK as SENT_TOK
+from gramloom.session import checkpointed
 
 N = "(SELECT count(*) FROM documents)"
 
@@ -182,8 +182,8 @@ CSTATE = f"""{C}, {top(K, 'w')}, a AS (SELECT token, CAST(id + 1 AS INTEGER) AS
 
 def _cluster_state(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
-    words = vocab.term_counts(docs, "doc_id", analyze("text"))
-    pairs = cl.adjacent_pairs(docs, "doc_id", analyze("text"))
+    words = checkpointed(vocab.term_counts(docs, "doc_id", analyze("text")))
+    pairs = checkpointed(cl.adjacent_pairs(docs, "doc_id", analyze("text")))
     assign = vocab.build_vocab(vocab.most_common(words, K)).select("token", (F.col("id") + 1).cast("int").alias("cluster"))
     return cl.cluster_distributions(words, pairs, assign)
 

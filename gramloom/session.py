@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Rows of a dictionary that may be broadcast: 200k short rows stay near 20 MB.
 BROADCAST_ROWS = 200_000
+PART_BYTES = 64 << 20
+MAX_PARTS = 200_000
 
 
 def build_session(app: str = "gramloom", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -48,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint a table whose computation shuffles, so that using it twice does not compute it twice."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return checkpointed(df) if "Exchange" in plan else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for tables a job writes and reads back."""
     return f"{_shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
@@ -64,10 +73,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows by key, in as many parts as shuffles use and no fewer than keep all cores busy."""
+    """Hash the rows by key into parts of about 64 MB (by the size the planner expects).
+
+    There are never fewer parts than shuffles use by default, nor too few to keep all cores busy.
+    """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(parts, 2 * spark.sparkContext.defaultParallelism), *keys)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    by_size = min(math.ceil(size / PART_BYTES), MAX_PARTS)
+    by_conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(by_size, by_conf, 2 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
