@@ -78,7 +78,7 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     There are never fewer parts than shuffles use by default, nor too few to keep all cores busy.
     """
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     by_size = min(math.ceil(size / PART_BYTES), MAX_PARTS)
     by_conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(by_size, by_conf, 2 * spark.sparkContext.defaultParallelism), *keys)
