@@ -46,41 +46,41 @@ def analogy_accuracy(vectors: DataFrame, questions: DataFrame, cutoff: int = 30_
     """
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
     words = vectors.where(F.col("id") < cutoff).select("token", "id", F.transform("vec", lambda x: x / size).alias("vec"))
-    q = questions.withColumn("qid", F.monotonically_increasing_id())
+    asked = ["section", "a", "b", "c", "expected"]
+    q = questions.groupBy(*asked).agg(F.count("*").alias("times"))
     for role in ("a", "b", "c"):
         named = words.select(F.col("token").alias(role), F.col("vec").alias(f"v_{role}"))
         q = join_dictionary(q, named, role, rows=cutoff)
     q = join_dictionary(q, words.select(F.col("token").alias("expected")), "expected", rows=cutoff)
     target = F.zip_with(F.zip_with("v_b", "v_a", lambda x, y: x - y), "v_c", lambda x, y: x + y)
     n_blocks = math.ceil(cutoff / block)
-    targets = q.select("qid", "section", "expected", F.array("a", "b", "c").alias("given"), target.alias("vec"))
+    targets = q.select(*asked, "times", target.alias("vec"))
     # ids 0..cutoff-1 fill the word blocks; questions are spread over as many blocks as needed
     n_q = max(1, math.ceil(questions.count() / block))
-    left = targets.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn(
+    left = targets.withColumn("qb", F.pmod(F.xxhash64(*asked), F.lit(n_q))).withColumn(
         "wb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = words.withColumn("wb", F.floor(F.col("id") / block).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
 
     def score(qs: pd.DataFrame, ws: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qid", "section", "expected", "best", "score"]
         if qs.empty or ws.empty:
-            return pd.DataFrame(columns=cols)
+            return pd.DataFrame(columns=[*asked, "times", "best", "score"])
         ws = ws.sort_values("id")
         tokens = ws["token"].to_numpy()
         place = {t: i for i, t in enumerate(tokens)}
         sims = np.stack(qs["vec"].to_numpy()) @ np.stack(ws["vec"].to_numpy()).T
-        for row, given in enumerate(qs["given"]):
+        for row, given in enumerate(zip(qs["a"], qs["b"], qs["c"])):
             hits = [place[t] for t in given if t in place]
             sims[row, hits] = -np.inf
         best = sims.argmax(axis=1)
-        out = qs[["qid", "section", "expected"]].copy()
+        out = qs[[*asked, "times"]].copy()
         out["best"] = tokens[best]
         out["score"] = sims[np.arange(len(qs)), best]
         return out[np.isfinite(out["score"])]
 
-    schema = "qid bigint, section string, expected string, best string, score double"
+    schema = ", ".join(f"{c} string" for c in asked) + ", times bigint, best string, score double"
     local = left.groupBy("qb", "wb").cogroup(right.groupBy("qb", "wb")).applyInPandas(score, schema)
-    best = local.groupBy("qid", "section", "expected").agg(F.max_by("best", "score").alias("best"))
+    best = local.groupBy(*asked, "times").agg(F.max_by("best", "score").alias("best"))
     return best.rollup("section").agg(
-        F.count("*").alias("n"), F.sum((F.col("best") == F.col("expected")).cast("bigint")).alias("correct")
+        F.sum("times").alias("n"), F.sum(F.when(F.col("best") == F.col("expected"), F.col("times")).otherwise(0)).alias("correct")
     ).withColumn("section", F.coalesce("section", F.lit("total")))

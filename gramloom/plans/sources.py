@@ -35,10 +35,11 @@ def _xml_text(c):
 
 
 @query("src_01_post_fields", """
-SELECT doc_id, lang AS subject, source || chr(10) || 'x' AS "from", regexp_replace(text, '^\\s+', '') AS body FROM documents""")
+SELECT doc_id, lang AS subject, source || chr(10) || 'x' AS "from",
+  regexp_replace(replace(text, chr(10) || chr(10), chr(10) || ' ' || chr(10)), '^\\s+', '') AS body FROM documents""")
 def src_01(spark, sf):
     post = F.concat(F.lit("From: "), "source", F.lit("\nSubject:  "), "lang", F.lit("\nfrom: x\n\n"), F.replace("text", F.lit("\n\n"), F.lit("\n \n")), F.lit("\n-- \nsig"))
-    posts = documents(spark, sf, "doc_id", "source", "lang", "text").where(~F.col("text").contains("\n\n")).select("doc_id", post.alias("value"))
+    posts = documents(spark, sf, "doc_id", "source", "lang", "text").select("doc_id", post.alias("value"))
     return nw.parse_posts(posts, "value", ["subject", "from", "body"])
 
 
