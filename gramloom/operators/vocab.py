@@ -11,19 +11,24 @@ from gramloom.session import by_key
 TOTAL_ROW = "###TOTAL###"
 
 
-def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+def term_counts(df: DataFrame, key: str, tokens: Column, base: Column | None = None) -> DataFrame:
     """(token, tf, df) over all documents.
 
     The texts are hashed by document first: they are far smaller than their tokens, the counts per
     (document, token) then need no further shuffle, and only one row per distinct token and task
     goes into the last one. Counting per document also takes the heat out of frequent tokens.
     """
-    per_doc = doc_term_counts(by_key(df, key), key, tokens)
+    per_doc = doc_term_counts(by_key(df, key), key, tokens, base)
     return per_doc.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-def doc_term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Bag of words in long form: (key, token, tf)."""
+def doc_term_counts(df: DataFrame, key: str, tokens: Column, base: Column | None = None) -> DataFrame:
+    """Bag of words in long form: (key, token, tf).
+
+    `base` is computed once per document as column `_base`, for `tokens` that read it many times.
+    """
+    if base is not None:
+        df = df.select(key, base.alias("_base"))
     # the array gets a projection of its own, where shared steps of its orders are computed once;
     # the outer form keeps the optimizer from adding a size test that computes the array again
     arrays = df.select(key, tokens.alias("_t"))

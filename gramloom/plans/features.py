@@ -298,7 +298,7 @@ _NG = f"""tok AS (SELECT doc_id, {k.words('text')} AS a FROM documents),
 WITH {_NG}, c AS (SELECT token, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM (SELECT doc_id, token, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1)
 SELECT token, tf, df FROM c ORDER BY tf DESC, token LIMIT 500000""")
 def ml_04(spark, sf):
-    counts = vocab.term_counts(_docs(spark, sf), "doc_id", word_ngrams(analyze("text"), 1, 5))
+    counts = vocab.term_counts(_docs(spark, sf), "doc_id", word_ngrams("_base", 1, 5), base=analyze("text"))
     return vocab.top_features(counts, _n(spark, sf), 500_000)
 
 
