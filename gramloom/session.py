@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 PART_BYTES = 64 << 20
 MAX_PARTS = 200_000
+UNKNOWN_BYTES = 1 << 50
 
 
 def build_session(app: str = "gramloom", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -79,7 +80,8 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    by_size = min(math.ceil(size / PART_BYTES), MAX_PARTS)
+    # tables without statistics come with a size near the largest number there is
+    by_size = min(math.ceil(size / PART_BYTES), MAX_PARTS) if size < UNKNOWN_BYTES else 0
     by_conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(by_size, by_conf, 2 * spark.sparkContext.defaultParallelism), *keys)
 
