@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramloom.llm import decontamination, exactdedup, neardup
+from gramloom.llm import decontamination, exactdedup, langid, neardup, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": neardup.op1_jaccard_join,
+    "op3_language_id": langid.op3_language_id,
+    "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
 }
