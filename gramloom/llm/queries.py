@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramloom.llm import decontamination, exactdedup, langid, licensescan, neardup, secretscan, sentencepieces, sharding
+from gramloom.llm import (
+    chatformat, decontamination, exactdedup, htmltext, langid, licensescan, neardup, secretscan, sentencepieces, sharding,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": neardup.op1_jaccard_join,
+    "op2_html_text": htmltext.op2_html_text,
     "op3_language_id": langid.op3_language_id,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_secret_scan": secretscan.op5_secret_scan,
     "op6_sharding": sharding.op6_sharding,
+    "op7_chat_format": chatformat.op7_chat_format,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_license_scan": licensescan.op10_license_scan,
