@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest doc_id stays (a null doc_id is the smallest; keep_id is null if all are). Of repeated rows with that
-    same id exactly one is marked kept.
+    same id exactly one is marked kept. Other columns keep their names; those of the result and names with a leading
+    underscore are the operator's.
 
     First pass: lengths are counted, then (length, hash of the first `prefix` bytes) among lengths that occur twice.
     Second pass: only rows whose length and mark both recur are hashed in full; two bitmaps of fixed size tell
@@ -87,18 +88,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     light = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     light_type = light.schema["_id"].dataType.simpleString()
     hashed = light.mapInArrow(_digests(["_id", "_text"], 1, ["_id"], prefix, sizes, begun), f"_id {light_type}, _size bigint, _mark bigint, _full binary")
-    same = hashed.where("_full is not null").groupBy("_size", "_mark", "_full", "_id").agg(F.count("*").alias("c"))
-    best = F.max_by("c", F.struct(F.col("_id").isNotNull(), "_id")).alias("ties")
-    same = kept(same.groupBy("_size", "_mark", "_full").agg(F.sum("c").alias("n"), F.max("_id").alias("keep"), best).where("n > 1"), "dedup-groups")
+    same = hashed.where("_full is not null").groupBy("_size", "_mark", "_full", "_id").agg(F.count("*").alias("_c"))
+    best = F.max_by("_c", F.struct(F.col("_id").isNotNull(), "_id")).alias("_ties")
+    same = kept(same.groupBy("_size", "_mark", "_full").agg(F.sum("_c").alias("_n"), F.max("_id").alias("_keep"), best).where("_n > 1"), "dedup-groups")
 
     joined = rows.join(same, ["_size", "_mark", "_full"], "left").withColumns({
-        "keep_id": F.when(F.col("n").isNull(), F.col("_id")).otherwise(F.col("keep")), "group_size": F.coalesce("n", F.lit(1)).cast("bigint")})
+        "keep_id": F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")), "group_size": F.coalesce("_n", F.lit(1)).cast("bigint")})
     joined = joined.withColumn("kept", F.col("keep_id").eqNullSafe(F.col("_id")))
     out = [*carry, "keep_id", "group_size", "kept"]
-    if same.where("ties > 1").isEmpty():
+    if same.where("_ties > 1").isEmpty():
         return joined.select(*out)
     # repeated rows: number those of the kept id, one of them stays
-    tied = joined.withColumn("_tied", F.col("kept") & (F.coalesce("ties", F.lit(1)) > 1))
+    tied = joined.withColumn("_tied", F.col("kept") & (F.coalesce("_ties", F.lit(1)) > 1))
     one = Window.partitionBy("_size", "_mark", "_full").orderBy("_id")
     ranked = tied.where("_tied").withColumn("kept", F.row_number().over(one) == 1)
     return tied.where("not _tied").select(*out).unionByName(ranked.select(*out))

@@ -25,8 +25,8 @@ MARKOV = "markov"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = 64 + 2  # characters of candidates and the end mark
-MIN_RATIO = 20.0
-MIN_MEAN = 2.0
+MIN_RATIO = 15.0
+MIN_MEAN = 0.5
 MIN_DISTINCT = 8
 SAMPLE_DOCS = 20_000
 _END = 0
@@ -38,12 +38,14 @@ def _pairs(s: Column) -> Column:
     return F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * 128 + b)
 
 
-def fit_ratio(samples: DataFrame, sample: str = "sample", is_random: str = "is_random", prior: float = 50.0, ordinary_prior: float = 0.5) -> list[float]:
+def fit_ratio(samples: DataFrame, sample: str = "sample", is_random: str = "is_random", prior: float = 50.0, ordinary_prior: float = 0.5,
+              floor: float = 0.05) -> list[float]:
     """Log-likelihood ratio, random over ordinary, of every pair of ASCII characters.
 
     `samples` are strings with a label. Pair counts, at most 128 x 128 for each label, are all that comes to the
-    driver. The prior of a random string is even over the alphabet with the weight of `prior` samples of each
-    character; ordinary strings have a thin one. Null or empty samples and labels count for nothing; without
+    driver. The prior of a random string is even over the alphabet with the weight of `prior` characters after
+    each character; ordinary strings have a thin one, after the frequencies of their characters, and the share `floor` of them is
+    taken to be any character, so that a few signs unknown to the samples decide nothing. Null or empty samples and labels count for nothing; without
     samples of a label its prior remains.
     """
     rows = samples.where(F.col(is_random).isNotNull() & (F.length(sample) > 0) & ~F.col(sample).rlike(r"[^\x01-\x7F]"))
@@ -51,14 +53,18 @@ def fit_ratio(samples: DataFrame, sample: str = "sample", is_random: str = "is_r
     seen: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for r, pair, n in counts.collect():
         seen[bool(r)][pair] = n
-    before = {r: [0] * 128 for r in seen}
+    before, after = ({r: [0] * 128 for r in seen} for _ in range(2))
     for r, pairs in seen.items():
         for pair, n in pairs.items():
             before[r][pair // 128] += n
+            after[r][pair % 128] += n
 
     def log_p(r: bool, pair: int) -> float:
+        """A pair never seen leans on the frequency of its second character, for random strings on the even prior."""
         weight = prior if r else ordinary_prior
-        return math.log((seen[r].get(pair, 0) + weight / ALPHABET) / (before[r][pair // 128] + weight))
+        single = 1 / ALPHABET if r else (after[r][pair % 128] + weight / ALPHABET) / (sum(after[r]) + weight)
+        p = (seen[r].get(pair, 0) + weight * single) / (before[r][pair // 128] + weight)
+        return math.log(p if r else (1 - floor) * p + floor / ALPHABET)
 
     return [round(log_p(True, pair) - log_p(False, pair), 4) for pair in range(128 * 128)]
 
@@ -121,8 +127,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     """(doc_id, spans: array of (start, kind_no, kind, end)) for every row, spans by start, then kind.
 
     A candidate of 16 and more characters, at least `min_distinct` of them different, is a secret of kind `markov`
-    when the log-likelihood ratio is at least `min_ratio`, and `min_mean` for each pair of characters (names in camel
-    case reach about 1.3, random strings over 2.5), and it touches no base span. Models are fitted to
+    when the log-likelihood ratio is at least `min_ratio`, and `min_mean` for each pair of characters (names stay
+    below 0, random strings over 0.7), and it touches no base span. Models are fitted to
     `samples` (sample, is_random), by default those of `labelled_samples`. Null and empty texts have no spans;
     repeated rows are scanned each by itself. Texts stay where they are: only matches travel.
     """

@@ -157,6 +157,7 @@ class PieceModel:
             at += rule[0]
 
     def _escaped(self, out: bytes, source: np.ndarray) -> tuple[str, np.ndarray]:
+        """As `_with_spaces`, with the bytes of the original text as sources."""
         text, plain = self._with_spaces(out.decode(), out)
         return text, source[plain]
 
@@ -167,7 +168,7 @@ class PieceModel:
         source = np.append(np.repeat(np.arange(len(raw)), times), len(raw))
         new = text.replace(" ", self.space)
         if self.prefix:
-            new, source = self.space + new, np.concatenate((np.zeros(wide, dtype=np.int64), source))
+            new, source = self.space + new, np.concatenate((np.full(wide, source[0]), source))
         return new, source
 
     def merge(self, word: str) -> list[str]:
