@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gramloom.llm.tables import pieces, table
 
 SPACE = "▁"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 LONG_WORD = 64
 # fixed values: field numbers and type codes of the public model format
 _PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -215,26 +215,30 @@ class PieceModel:
         """
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = [w for w in words if w not in self.memo and len(w) <= LONG_WORD]
+        new = words.difference(self.memo)
         if not self.rules.units and not self.trim and self.prefix and self.space == SPACE:
-            plain = [w for w in new if w[0] == SPACE and len(w) > 1 and w[1] != SPACE]
+            plain = [w for w in new if w[0] == SPACE and 1 < len(w) <= LONG_WORD and w[1] != SPACE]
             for w, ids in zip(plain, self.library.encode([w[1:] for w in plain])):
                 self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+            new.difference_update(plain)
         for w in new:
-            if w not in self.memo:
-                self.memo[w] = self.word_ids(w)
+            self.memo[w] = self.word_ids(w)
 
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text (ids with begin and end, first byte and end byte of each; a byte piece spans its own byte)."""
         normal = [self.normalise(t) for t in texts]
         words = [self.words.findall(new) for new, _ in normal]
-        self.learn(set().union(*words))
-        out = []
+        known = set().union(*words)
+        self.learn(known)
+        out, ids_of = [], self.memo.__getitem__
         for split, (_, source) in zip(words, normal):
-            body = b"".join([self.memo[w] if len(w) <= LONG_WORD else self.word_ids(w) for w in split])
-            ids = np.concatenate(([self.begin], np.frombuffer(body, dtype="<u4"), [self.end])).astype(np.int64)
+            body = np.frombuffer(b"".join(map(ids_of, split)), dtype="<u4")
+            ids = np.concatenate(([self.begin], body, [self.end]), dtype=np.int64)
             at = np.concatenate(([0], np.cumsum(self.width[ids])))
             out.append((ids, source[at[:-1]], source[at[1:]]))
+        for w in known:
+            if len(w) > LONG_WORD:
+                del self.memo[w]
         return out
 
 
