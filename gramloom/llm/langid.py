@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from gramloom.llm.tables import kept, pieces, table
 from gramloom.llm.words import mix, ngrams
 
-ORDERS = (2, 3, 4)
+ORDERS = (3, 4)
 MIN_SHARE = 2e-5
-SLOTS = 1 << 22
+SLOTS = 1 << 21
+SAMPLE_DOCS = 10_000
 PROBES = 3
 UNKNOWN = "und"
 _HELD = 1 << 20  # distinct n-grams that a counting task holds at once
@@ -55,35 +56,40 @@ def _grams(column: pa.Array, orders: tuple[int, ...]) -> tuple[np.ndarray, np.nd
     return np.concatenate([empty, *hashes]), np.concatenate([empty.astype(np.int64), *owners]), has_letter
 
 
-def _summed(keys: np.ndarray, langs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((keys, langs))
-    keys, langs, counts = keys[order], langs[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1])))) if len(keys) else np.zeros(0, int)
-    return keys[first], langs[first], np.add.reduceat(counts, first) if len(first) else counts
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their summed counts."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
 def _counts(languages: list[str], orders: tuple[int, ...]):
     """Counts of (language, n-gram), summed inside the task before they travel."""
     number = pa.array(languages)
 
-    def batch_of(keys, langs, counts):
-        return pa.RecordBatch.from_arrays([pa.array(langs.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
-
     def run(batches):
-        held, size = [], 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {i: [] for i in range(len(languages))}
+        size = dict.fromkeys(held, 0)
+
+        def flush(i):
+            keys, n = _merged(held[i])
+            held[i], size[i] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
         for part in pieces(batches, 1):
             of_text = pc.index_in(part.column(0), number).to_numpy(zero_copy_only=False)
             keys, owner, _ = _grams(part.column(1), orders)
-            held.append(_summed(keys, of_text[owner].astype(np.int64), np.ones(len(keys), np.int64)))
-            size += len(held[-1][0])
-            if size > 2 * _HELD:
-                held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
-                size = len(held[0][0])
-                if size > _HELD:
-                    yield batch_of(*held[0])
-                    held, size = [], 0
-        if held:
-            yield batch_of(*_summed(*(np.concatenate(x) for x in zip(*held))))
+            of_gram = of_text[owner]
+            for i in np.unique(of_text):
+                held[i].append(np.unique(keys[of_gram == i], return_counts=True))
+                size[i] += len(held[i][-1][0])
+                if size[i] > 2 * _HELD:
+                    held[i] = [_merged(held[i])]
+                    size[i] = len(held[i][0][0])
+                    if size[i] > _HELD:
+                        yield flush(i)
+        for i in held:
+            if held[i]:
+                yield flush(i)
 
     return run
 
@@ -98,9 +104,11 @@ class LanguageFilters:
     """Masks in planes of 64 languages, and the chance hits of every language."""
 
     def __init__(self, languages: list[str], planes: np.ndarray, probes: int, orders: tuple[int, ...]):
-        self.languages, self.planes, self.probes, self.orders = languages, planes, probes, orders
+        self.languages, self.probes, self.orders = languages, probes, orders
         fill = [np.count_nonzero(planes[i // 64] >> np.uint64(i % 64) & np.uint64(1)) / planes.shape[1] for i in range(len(languages))]
         self.chance = np.array(fill) ** probes
+        # few languages take few bits: a smaller table stays in the cache
+        self.planes = planes.astype(np.uint8) if len(languages) <= 8 else planes
 
     def languages_of(self, grams: np.ndarray) -> list[np.ndarray]:
         """For every n-gram the mask of the languages that contain it (and few others), in planes of 64."""
@@ -112,23 +120,33 @@ class LanguageFilters:
         grams, owner, has_letter = _grams(column, self.orders)
         total = np.bincount(owner, minlength=len(column))
         masks = self.languages_of(grams)
-        out = np.zeros((len(self.languages), len(column)))
-        for i in range(len(self.languages)):
-            hits = np.bincount(owner, weights=(masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(float), minlength=len(column))
-            out[i] = (hits / np.maximum(total, 1) - self.chance[i]) / (1 - self.chance[i]) if self.chance[i] < 1 else 0
+        if len(self.languages) <= 8:  # texts x masks, then the texts that each bit of the masks stands for
+            by_mask = np.bincount(owner * 256 + masks[0], minlength=256 * len(column)).reshape(len(column), 256)
+            bits = np.arange(256)[:, None] >> np.arange(len(self.languages)) & 1
+            hits = (by_mask @ bits).T
+        else:
+            hits = np.stack([np.bincount(owner[masks[i // 64] >> np.uint64(i % 64) & np.uint64(1) == 1], minlength=len(column)) for i in range(len(self.languages))])
+        chance = self.chance[:, None]
+        out = np.where(chance < 1, (hits / np.maximum(total, 1) - chance) / np.maximum(1 - chance, 1e-12), 0)
         return np.clip(out, 0, 1), has_letter
 
 
-def fit_language_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", orders: tuple[int, ...] = ORDERS, min_share: float = MIN_SHARE,
-                         slots: int = SLOTS, probes: int = PROBES) -> LanguageFilters:
-    """Filters of every language's n-grams that make up at least `min_share` of its n-grams of that kind.
+def fit_language_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", orders: tuple[int, ...] = ORDERS,
+                         min_share: float = MIN_SHARE, slots: int = SLOTS, probes: int = PROBES, sample_docs: int | None = SAMPLE_DOCS) -> LanguageFilters:
+    """Filters of every language's n-grams that make up at least `min_share` of its n-grams.
 
-    All labelled rows are counted; rows without language or text count for nothing. A language keeps at most
-    1 / min_share n-grams, whatever the size of the corpus, so the masks that come to the driver are bounded by
-    languages x probes / min_share and the filter by slots x 8 bytes for each 64 languages. `slots` is a power of two.
+    Of each language about `sample_docs` rows are counted, those with the lowest hashes of `key`; None counts all.
+    Rows without language or text count for nothing. A language keeps at most 1 / min_share n-grams, whatever the
+    size of the corpus, so what comes to the driver is bounded by languages / min_share and the filter by
+    slots x 8 bytes for each 64 languages. `slots` is a power of two.
     """
-    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    languages = sorted(r[0] for r in rows.select("l").distinct().collect())
+    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(key).alias("h")).where("l is not null and t is not null")
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    languages = sorted(sizes)
+    if sample_docs is not None and languages:
+        below = F.create_map(*[F.lit(x) for i in languages for x in (i, int((1 << 30) * min(1.0, sample_docs / sizes[i])))])
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < below[F.col("l")])
+    rows = rows.select("l", "t")
     planes = np.zeros((max(1, -(-len(languages) // 64)), slots), dtype=np.uint64)
     counts = rows.mapInArrow(_counts(languages, orders), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = kept(counts, "language-ngrams")
