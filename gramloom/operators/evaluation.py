@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.operators.joins import join_dictionary
+from gramloom.session import settled
 
 
 def accuracy(df: DataFrame) -> DataFrame:
@@ -37,26 +38,27 @@ def binarize(df: DataFrame, topics: str, names: list[str]) -> DataFrame:
     return df.select("*", *[F.array_contains(topics, n).cast("int").alias(n) for n in names])
 
 
-def analogy_accuracy(vectors: DataFrame, questions: DataFrame, cutoff: int = 30_000, block: int = 4096) -> DataFrame:
+def analogy_accuracy(vectors: DataFrame, questions: DataFrame, cutoff: int | None = None, block: int = 4096) -> DataFrame:
     """Correct answers to a : b = c : ? by section and in total.
 
-    `vectors` is (token, id, vec) with ids by falling frequency; words with id >= cutoff do not
-    take part. Unit vectors are compared in square blocks: each task multiplies one block of
-    questions with one block of words and keeps its best word per question, so no pair rows exist.
+    `vectors` is (token, id, vec) with ids by falling frequency; with a `cutoff` words of that id and beyond do not
+    take part. Unit vectors are compared in square blocks: each task multiplies one block of questions with one
+    block of words and keeps its best word per question, so no pair rows exist.
     """
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    words = vectors.where(F.col("id") < cutoff).select("token", "id", F.transform("vec", lambda x: x / size).alias("vec"))
+    taking_part = vectors if cutoff is None else vectors.where(F.col("id") < cutoff)
+    words = settled(taking_part.select("token", "id", F.transform("vec", lambda x: x / size).alias("vec")))
     asked = ["section", "a", "b", "c", "expected"]
     q = questions.groupBy(*asked).agg(F.count("*").alias("times"))
     for role in ("a", "b", "c"):
-        named = words.select(F.col("token").alias(role), F.col("vec").alias(f"v_{role}"))
-        q = join_dictionary(q, named, role, rows=cutoff)
-    q = join_dictionary(q, words.select(F.col("token").alias("expected")), "expected", rows=cutoff)
+        q = join_dictionary(q, words.select(F.col("token").alias(role), F.col("vec").alias(f"v_{role}")), role)
+    q = join_dictionary(q, words.select(F.col("token").alias("expected")), "expected")
     target = F.zip_with(F.zip_with("v_b", "v_a", lambda x, y: x - y), "v_c", lambda x, y: x + y)
-    n_blocks = math.ceil(cutoff / block)
-    targets = q.select(*asked, "times", target.alias("vec"))
-    # ids 0..cutoff-1 fill the word blocks; questions are spread over as many blocks as needed
-    n_q = max(1, math.ceil(questions.count() / block))
+    n_words = (words.agg(F.max("id")).first()[0] or 0) + 1
+    n_blocks = math.ceil(n_words / block)
+    targets = settled(q.select(*asked, "times", target.alias("vec")))
+    # ids fill the word blocks; questions are spread over as many blocks as needed
+    n_q = max(1, math.ceil(targets.count() / block))
     left = targets.withColumn("qb", F.pmod(F.xxhash64(*asked), F.lit(n_q))).withColumn(
         "wb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = words.withColumn("wb", F.floor(F.col("id") / block).cast("int")).withColumn(

@@ -7,20 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.session import BROADCAST_ROWS, checkpointed, is_small, settled
+from gramloom.session import BROADCAST_BYTES, checkpointed, is_small, settled
 
 
-def join_dictionary(tokens: DataFrame, dictionary: DataFrame, on: str = "token", rows: int = BROADCAST_ROWS,
+def join_dictionary(tokens: DataFrame, dictionary: DataFrame, on: str = "token", limit: int = BROADCAST_BYTES,
                     share: int = 1000, salts: int = 64) -> DataFrame:
     """Inner join of long tokens with a dictionary of few rows per key.
 
-    A dictionary of at most `rows` rows is broadcast. For a larger one both sides are shuffled; keys
+    A dictionary of at most `limit` measured bytes is broadcast. For a larger one tokens are kept, both sides are shuffled; keys
     that hold more than 1/share of all tokens (there are fewer than `share` of them) are spread over
     `salts` copies of their dictionary rows.
     """
     dictionary = settled(dictionary)
-    if is_small(dictionary, rows):
+    if is_small(dictionary, limit):
         return tokens.join(F.broadcast(dictionary), on)
+    tokens = settled(tokens)
     counts = checkpointed(tokens.groupBy(on).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(counts.where(F.col("_n") * share > total).select(on, F.lit(True).alias("_hot")))
@@ -43,7 +44,7 @@ def to_clusters(tokens: DataFrame, clusters: DataFrame) -> DataFrame:
 def to_vectors(tokens: DataFrame, vectors: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """Tokens with their vector `vec`; with a vocabulary only its words count."""
     known = vectors.join(vocab.select("token"), "token", "left_semi") if vocab is not None else vectors
-    return join_dictionary(tokens, known.select("token", "vec"), rows=BROADCAST_ROWS // 8)
+    return join_dictionary(tokens, known.select("token", "vec"))
 
 
 def vocab_matrix(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -95,14 +96,17 @@ def name_codes(df: DataFrame, codes_col: str, codes: DataFrame, key: str) -> Dat
     return join_dictionary(long, codes.select("code", "term"), "code")
 
 
-def stack_features(blocks: list[DataFrame], key: str = "doc_id") -> DataFrame:
-    """Feature blocks (key, feature, value) side by side: ids of later blocks are shifted."""
+def stack_features(blocks: list[tuple[DataFrame, int | Column]], key: str = "doc_id") -> DataFrame:
+    """Feature blocks (key, feature, value) side by side: ids are shifted by the widths of the blocks before.
+
+    A block comes with its width, the size of its vocabulary or the number of its clusters, so that a feature has
+    the same id in any set of rows.
+    """
     shifted, offset = [], F.lit(0).cast("bigint")
-    for block in blocks:
+    for block, width in blocks:
         shifted.append(block.withColumn("_o", offset).select(key, (F.col("feature") + F.col("_o")).alias("feature"),
                                                              F.col("value").cast("double").alias("value")))
-        size = block.agg(F.coalesce(F.max("feature") + 1, F.lit(0)).cast("bigint")).scalar()
-        offset = offset + size
+        offset = offset + (width if isinstance(width, Column) else F.lit(width))
     return reduce(DataFrame.unionByName, shifted)
 
 

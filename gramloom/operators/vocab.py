@@ -5,35 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.operators.order import global_rank
-from gramloom.session import by_key
+from gramloom.operators.order import global_rank, running_sum
+from gramloom.session import checkpointed
 
 TOTAL_ROW = "###TOTAL###"
 
 
 def term_counts(df: DataFrame, key: str, tokens: Column, base: Column | None = None) -> DataFrame:
-    """(token, tf, df) over all documents.
+    """(token, tf, df) over all documents: one exchange, of one row per distinct token and task."""
+    return corpus_counts(doc_term_counts(df, key, tokens, base))
 
-    The texts are hashed by document first: they are far smaller than their tokens, the counts per
-    (document, token) then need no further shuffle, and only one row per distinct token and task
-    goes into the last one. Counting per document also takes the heat out of frequent tokens.
-    """
-    per_doc = doc_term_counts(by_key(df, key), key, tokens, base)
-    return per_doc.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+def corpus_counts(bags: DataFrame) -> DataFrame:
+    """(token, tf, df) from the bags of words (key, token, tf) of all documents."""
+    return bags.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-def doc_term_counts(df: DataFrame, key: str, tokens: Column, base: Column | None = None) -> DataFrame:
+def doc_term_counts(df: DataFrame, key: str, tokens: Column, base: Column | None = None, unique: bool = True) -> DataFrame:
     """Bag of words in long form: (key, token, tf).
 
+    A document is one row, so its tokens are sorted and counted in place: texts are never shuffled. With
+    `unique=False`, for keys that span several rows, the counts of a key's rows are added up.
     `base` is computed once per document as column `_base`, for `tokens` that read it many times.
     """
     if base is not None:
         df = df.select(key, base.alias("_base"))
-    # the array gets a projection of its own, where shared steps of its orders are computed once;
+    # arrays get projections of their own, where each is computed once
+    arrays = df.select(key, F.sort_array(tokens).alias("_t"))
+    firsts = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | ~F.get("_t", i).eqNullSafe(F.get("_t", i - 1)))
+    firsts = arrays.select(key, "_t", F.when(F.size("_t") > 0, firsts).alias("_f"))
+    counted = F.transform("_f", lambda at, n: F.struct(
+        F.get("_t", at).alias("token"), (F.coalesce(F.get("_f", n + 1), F.size("_t")) - at).cast("bigint").alias("tf")))
     # the outer form keeps the optimizer from adding a size test that computes the array again
-    arrays = df.select(key, tokens.alias("_t"))
-    long = arrays.select(key, F.explode_outer("_t").alias("token")).where(F.col("token").isNotNull())
-    return long.groupBy(key, "token").agg(F.count("*").alias("tf"))
+    bags = firsts.select(key, F.explode_outer(counted).alias("_w")).select(key, "_w.token", "_w.tf").where(F.col("token").isNotNull())
+    return bags if unique else bags.groupBy(key, "token").agg(F.sum("tf").alias("tf"))
 
 
 def term_stats(df: DataFrame, key: str, tokens: Column, min_count: int = 1, totals: bool = False) -> DataFrame:
@@ -43,11 +48,12 @@ def term_stats(df: DataFrame, key: str, tokens: Column, min_count: int = 1, tota
     """
     counts = term_counts(df, key, tokens)
     n_docs = df.agg(F.count("*")).scalar()
-    stats = counts.where(F.col("tf") >= min_count).withColumn("idf", F.log(n_docs / F.col("df")))
     if not totals:
-        return stats
-    total = df.agg(F.sum(F.size(tokens)).cast("bigint").alias("tf"), F.count("*").alias("df")).select(
-        F.lit(TOTAL_ROW).alias("token"), "tf", "df", F.lit(None).cast("double").alias("idf")
+        return counts.where(F.col("tf") >= min_count).withColumn("idf", F.log(n_docs / F.col("df")))
+    counts = checkpointed(counts)
+    stats = counts.where(F.col("tf") >= min_count).withColumn("idf", F.log(n_docs / F.col("df")))
+    total = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf")).select(
+        F.lit(TOTAL_ROW).alias("token"), "tf", n_docs.alias("df"), F.lit(None).cast("double").alias("idf")
     )
     return stats.unionByName(total)
 
@@ -62,30 +68,50 @@ def build_vocab(counts: DataFrame) -> DataFrame:
     return ranked.withColumn("id", F.col("id") - 1)
 
 
-def _top(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
-    return df if n is None else df.orderBy(*order).limit(n)
+SMALL_TOP = 10_000
+
+
+def _top(df: DataFrame, n: int | None, by: str, token: str = "asc") -> DataFrame:
+    """The n rows of largest count `by`, of equal counts those with the smaller (`asc`) or larger (`desc`) token.
+
+    A list too long for one task is cut at a count: rows above the count at which n is passed are kept without
+    any order, and only rows with that very count are ranked.
+    """
+    if n is None:
+        return df
+    tie = F.asc("token") if token == "asc" else F.desc("token")
+    if n <= SMALL_TOP:
+        return df.orderBy(F.desc(by), tie).limit(n)
+    df = checkpointed(df)
+    sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
+    upto = running_sum(sizes, "_n", [F.desc(by)], "_upto")
+    cut = upto.where(F.col("_upto") >= n).agg(F.max_by(F.struct(by, (n - F.col("_upto") + F.col("_n")).alias("left")), by).alias("c")).first()["c"]
+    if cut is None:
+        return df
+    tied = global_rank(df.where(F.col(by) == cut[by]), [tie], "_rank").where(F.col("_rank") <= cut["left"]).drop("_rank")
+    return df.where(F.col(by) > cut[by]).unionByName(tied)
 
 
 def prune_vocab(counts: DataFrame, n_docs: Column, no_below: int = 5, no_above: float = 0.5,
-                keep_n: int | None = 100_000) -> DataFrame:
+                keep_n: int | None = None) -> DataFrame:
     """Terms in at least `no_below` and at most `no_above` x N documents; the `keep_n` most common by df."""
     kept = counts.where((F.col("df") >= no_below) & (F.col("df") <= n_docs * no_above))
-    return _top(kept, keep_n, [F.desc("df"), F.asc("token")])
+    return _top(kept, keep_n, "df")
 
 
 def top_features(counts: DataFrame, n_docs: Column, n: int | None, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """The n most frequent terms of the corpus after document-frequency pruning."""
     kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
-    return _top(kept, n, [F.desc("tf"), F.asc("token")])
+    return _top(kept, n, "tf")
 
 
-def most_common(counts: DataFrame, n: int) -> DataFrame:
-    return _top(counts, n, [F.desc("tf"), F.asc("token")])
+def most_common(counts: DataFrame, n: int | None) -> DataFrame:
+    return _top(counts, n, "tf")
 
 
 def initial_clusters(counts: DataFrame, n: int) -> DataFrame:
     """The n most frequent words, which seed the cluster learner; of equal counts the later word comes first."""
-    return _top(counts, n, [F.desc("tf"), F.desc("token")])
+    return _top(counts, n, "tf", "desc")
 
 
 def cutoff_table(counts: DataFrame, sizes: list[int]) -> DataFrame:
@@ -97,11 +123,18 @@ def cutoff_table(counts: DataFrame, sizes: list[int]) -> DataFrame:
 def score_band(df: DataFrame, score: str, lower: float, upper: float) -> DataFrame:
     """Terms whose score lies between two percentiles of all scores, ends included.
 
-    Scores repeat heavily, so the percentile is taken over (score, count) pairs.
+    Percentiles interpolate between the two nearest scores, which are found by running counts over the
+    distinct scores.
     """
     hist = df.groupBy(score).agg(F.count("*").alias("_n"))
-    bounds = hist.agg(F.percentile(score, F.array(F.lit(lower), F.lit(upper)), F.col("_n"))).scalar()
-    return df.withColumn("_b", bounds).where(F.col(score).between(F.col("_b")[0], F.col("_b")[1])).drop("_b")
+    upto = checkpointed(running_sum(hist, "_n", [F.asc(score)], "_upto"))
+    places = upto.agg(F.max("_upto").alias("n"))
+    bounds = []
+    for p in (lower, upper):
+        place = places.select((F.lit(p) * (F.col("n") - 1))).scalar()
+        at = [upto.where(F.col("_upto") > f(place)).agg(F.min(score)).scalar() for f in (F.floor, F.ceil)]
+        bounds.append(at[0] + (place - F.floor(place)) * (at[1] - at[0]))
+    return df.withColumns({"_lo": bounds[0], "_hi": bounds[1]}).where(F.col(score).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def token_totals(df: DataFrame, tokens: Column) -> DataFrame:

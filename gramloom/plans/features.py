@@ -15,32 +15,30 @@ from gramloom.operators import joins as jn
 from gramloom.operators import vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, pages, query, table
-from gramloom.session import by_key
+from gramloom.session import settled
 
 C = f"c AS ({k.term_counts(k.words('text'))})"
 N = "(SELECT count(*) FROM documents)"
 TOK = f"tok AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({k.words('text')}) AS token FROM documents) GROUP BY 1, 2)"
 
 
-def top(n, name="v", where="true"):
-    return (f"{name} AS (SELECT token, tf AS cf, df, row_number() OVER (ORDER BY tf DESC, token) - 1 AS id FROM c WHERE {where} "
-            f"QUALIFY row_number() OVER (ORDER BY tf DESC, token) <= {n})")
+def top(n=None, name="v"):
+    """CTE body of the n most frequent words, or all of them."""
+    cut = "" if n is None else f" QUALIFY row_number() OVER (ORDER BY tf DESC, token) <= {n}"
+    return f"{name} AS (SELECT token, tf AS cf, df, row_number() OVER (ORDER BY tf DESC, token) - 1 AS id FROM c{cut})"
 
 
 def _docs(spark, sf):
     return documents(spark, sf, "doc_id", "text")
 
 
-def _counts(spark, sf):
-    return vocab.term_counts(_docs(spark, sf), "doc_id", analyze("text"))
+def _bags(spark, sf):
+    """(doc_id, token, tf) of all documents, computed once for the vocabulary and the features of a query."""
+    return settled(vocab.doc_term_counts(_docs(spark, sf), "doc_id", analyze("text")))
 
 
-def _top(spark, sf, n):
-    return vocab.build_vocab(vocab.most_common(_counts(spark, sf), n))
-
-
-def _tf(spark, sf):
-    return vocab.doc_term_counts(by_key(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", analyze("text"))
+def _top(bags, n=None):
+    return settled(vocab.build_vocab(vocab.most_common(vocab.corpus_counts(bags), n)))
 
 
 def _n(spark, sf):
@@ -54,18 +52,18 @@ def _long(df, key, vec="vec", name="value", digits=6):
 
 # ---- clusters derived from the vocabulary: path = low bits of the word id ----
 
-def _clusters(spark, sf, n=2000):
+def _clusters(words):
     bits = F.lpad(F.bin(F.col("id") % 64), 6, "0")
-    return _top(spark, sf, n).select(bits.alias("cluster"), F.col("token").alias("word"), F.col("tf").alias("freq"), F.col("id").alias("line"))
+    return words.select(bits.alias("cluster"), F.col("token").alias("word"), F.col("tf").alias("freq"), F.col("id").alias("line"))
 
 
 CL = "cl AS (SELECT lpad(bin(id % 64), 6, '0') AS cluster, token, cf, id FROM v)"
 VEC = "vec AS (SELECT v.token, v.id, CAST(e.embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings e ON e.vec_id = v.id)"
 
 
-def _vectors(spark, sf, n=500):
+def _vectors(spark, sf, words):
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return _top(spark, sf, n).join(emb, "id").select("token", "id", "vec")
+    return words.join(emb, "id").select("token", "id", "vec")
 
 
 @query("jn_01_truth", "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -74,32 +72,40 @@ def jn_01(spark, sf):
 
 
 @query("jn_02_tokens_to_clusters", f"""
-WITH {C}, {top(2000)}, {CL}, {TOK}
+WITH {C}, {top()}, {CL}, {TOK}
 SELECT doc_id, token, cluster, tf FROM tok JOIN cl USING (token)""")
 def jn_02(spark, sf):
-    return jn.to_clusters(_tf(spark, sf), _clusters(spark, sf)).select("doc_id", "token", "cluster", "tf")
+    bags = _bags(spark, sf)
+    return jn.to_clusters(bags, _clusters(_top(bags))).select("doc_id", "token", "cluster", "tf")
 
 
 @query("jn_03_tokens_to_vectors", f"""
-WITH {C}, {top(500)}, {VEC}, {TOK}
-SELECT doc_id, token, round(vec[1], 6) AS x0, round(vec[64], 6) AS x63 FROM tok JOIN vec USING (token)
+WITH {C}, {top()}, {VEC}, {TOK}
+SELECT doc_id, token, round(list_sum(vec), 6) AS total, round(list_sum(list_transform(vec, lambda x, i: x * i)), 6) AS weighted FROM tok JOIN vec USING (token)
 WHERE token IN (SELECT token FROM c WHERE df <= {N} * 0.5)""")
 def jn_03(spark, sf):
-    gate = _counts(spark, sf).where(F.col("df") <= _n(spark, sf) * 0.5)
-    joined = jn.to_vectors(_tf(spark, sf), _vectors(spark, sf), gate)
-    return joined.select("doc_id", "token", F.round(F.col("vec")[0], 6).alias("x0"), F.round(F.col("vec")[63], 6).alias("x63"))
+    bags = _bags(spark, sf)
+    words = _top(bags)
+    joined = jn.to_vectors(bags, _vectors(spark, sf, words), words.where(F.col("df") <= _n(spark, sf) * 0.5))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    weighted = F.transform("vec", lambda x, i: x * (i + 1))
+    return joined.select("doc_id", "token", F.round(add("vec"), 6).alias("total"), F.round(add(weighted), 6).alias("weighted"))
 
 
 @query("jn_04_vocabulary_matrix", f"""
-WITH {C}, {top(1000)}, m AS (SELECT id + 1 AS row, token, coalesce(CAST(embedding AS DOUBLE[]), list_transform(generate_series(1, 64), lambda i: 0.0::DOUBLE)) AS vec
-  FROM v LEFT JOIN embeddings ON vec_id = id)
-SELECT row, token, CAST(d AS INTEGER) AS dim, round(vec[d + 1], 6) AS value FROM m, unnest(generate_series(0, 63)) AS x(d)""")
+WITH {C}, {top()}, m AS (SELECT id + 1 AS row, token, CAST(embedding AS DOUBLE[]) AS vec FROM v LEFT JOIN embeddings ON vec_id = id)
+SELECT row, token, CAST(d AS INTEGER) AS dim, round(vec[d + 1], 6) AS value FROM m, unnest(generate_series(0, 63)) AS x(d) WHERE vec[d + 1] <> 0
+UNION ALL SELECT row, token, NULL, 0 FROM m WHERE vec IS NULL""")
 def jn_04(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    words = _top(spark, sf, 1000)
+    words = _top(_bags(spark, sf))
     vectors = words.join(emb, F.col("id") == F.col("vec_id")).select("token", "vec")
-    m = jn.vocab_matrix(words, vectors, 64)
-    return m.select("row", "token", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    m = settled(jn.vocab_matrix(words, vectors, 64))
+    # of the matrix the entries that are not zero, and the rows of zeros by name
+    zero = ~F.exists("vec", lambda x: x != 0)
+    filled = m.where(~zero).select("row", "token", F.posexplode("vec").alias("dim", "value")).where("value <> 0")
+    empty = m.where(zero).select("row", "token", F.lit(None).cast("int").alias("dim"), F.lit(0.0).alias("value"))
+    return filled.withColumn("value", F.round("value", 6)).unionByName(empty)
 
 
 CATS = """cats AS (
@@ -164,19 +170,20 @@ def src_04(spark, sf):
     return a.unionByName(by_term.select(F.lit("term").alias("side"), F.col("term").alias("name"), F.col("n_codes").alias("n")).distinct())
 
 
-STACK = f"""WITH {C}, {top(1000)}, {CL}, {TOK},
-  b AS (SELECT doc_id, id AS feature, CAST(tf AS DOUBLE) AS value FROM tok JOIN v USING (token)),
+STACK = f"""WITH {C}, {top(1000)}, {TOK}, {CL}, b AS (SELECT doc_id, id AS feature, CAST(tf AS DOUBLE) AS value FROM tok JOIN v USING (token)),
   col AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS feature FROM (SELECT DISTINCT cluster FROM cl)),
-  d AS (SELECT doc_id, feature + (SELECT max(feature) + 1 FROM b) AS feature, CAST(sum(tf) AS DOUBLE) AS value
+  d AS (SELECT doc_id, feature + (SELECT count(*) FROM v) AS feature, CAST(sum(tf) AS DOUBLE) AS value
         FROM tok JOIN cl USING (token) JOIN col USING (cluster) GROUP BY 1, 2)"""
 
 
 def _blocks(spark, sf):
-    words, tf = _top(spark, sf, 1000), _tf(spark, sf)
-    block1 = jn.join_dictionary(tf, words.select("token", F.col("id").alias("feature"))).select("doc_id", "feature", F.col("tf").alias("value"))
-    clusters = _clusters(spark, sf, 1000)
-    block2 = ft.cluster_features(tf, clusters).join(F.broadcast(ft.cluster_columns(clusters)), "cluster")
-    return jn.stack_features([block1, block2.select("doc_id", "feature", "value")])
+    bags = _bags(spark, sf)
+    words = _top(bags, 1000)
+    block1 = jn.join_dictionary(bags, words.select("token", F.col("id").alias("feature"))).select("doc_id", "feature", F.col("tf").alias("value"))
+    clusters = _clusters(words)
+    columns = settled(ft.cluster_columns(clusters))
+    block2 = jn.join_dictionary(ft.cluster_features(bags, clusters), columns, "cluster").select("doc_id", "feature", "value")
+    return jn.stack_features([(block1, words.agg(F.count("*")).scalar()), (block2, columns.agg(F.count("*")).scalar())])
 
 
 @query("jn_11_feature_blocks", STACK + " SELECT doc_id, feature, value FROM b UNION ALL SELECT * FROM d")
@@ -191,20 +198,26 @@ def ml_09(spark, sf):
 
 
 @query("agg_09_cluster_features", f"""
-WITH {C}, {top(2000)}, {CL}, {TOK},
+WITH {C}, {top()}, {CL}, {TOK},
   col AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS feature FROM (SELECT DISTINCT cluster FROM cl))
 SELECT doc_id, cluster, feature, CAST(sum(tf) AS BIGINT) AS value FROM tok JOIN cl USING (token) JOIN col USING (cluster) GROUP BY 1, 2, 3""")
 def agg_09(spark, sf):
-    clusters = _clusters(spark, sf)
-    return ft.cluster_features(_tf(spark, sf), clusters).join(F.broadcast(ft.cluster_columns(clusters)), "cluster")
+    bags = _bags(spark, sf)
+    clusters = settled(_clusters(_top(bags)))
+    return jn.join_dictionary(ft.cluster_features(bags, clusters), ft.cluster_columns(clusters), "cluster")
+
+
+def _embedded(spark, sf, how):
+    bags = _bags(spark, sf)
+    return _long(ft.embed_documents(bags, _vectors(spark, sf, _top(bags)), how), "doc_id")
 
 
-EMB = f"""WITH {C}, {top(500)}, {VEC}, {TOK},
+EMB = f"""WITH {C}, {top()}, {VEC}, {TOK},
   s AS (SELECT doc_id, d, sum(tf * vec[d + 1]) AS x, sum(tf) AS n FROM tok JOIN vec USING (token), unnest(generate_series(0, 63)) AS g(d) GROUP BY 1, 2)"""
 for _how, _expr in {"sum": "x", "mean": "x / n",
                     "unit": "CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY doc_id)) > 1e-5 THEN x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) ELSE x END"}.items():
     query(f"agg_10_embedding_{_how}", f"{EMB} SELECT doc_id, CAST(d AS INTEGER) AS dim, round({_expr}, 6) AS value FROM s")(
-        lambda spark, sf, how=_how: _long(ft.embed_documents(_tf(spark, sf), _vectors(spark, sf), how), "doc_id"))
+        lambda spark, sf, how=_how: _embedded(spark, sf, how))
 
 
 def _f_sql(features, variant):
@@ -233,7 +246,8 @@ def _dense_f(spark, sf, variant):
 
 
 def _sparse_f(spark, sf, variant):
-    f = jn.join_dictionary(_tf(spark, sf), _top(spark, sf, 1000).select("token", F.col("id").alias("feature")))
+    bags = _bags(spark, sf)
+    f = jn.join_dictionary(bags, _top(bags, 1000).select("token", F.col("id").alias("feature")))
     f = f.select(F.col("doc_id").alias("id"), "feature", F.col("tf").alias("value"))
     y = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("is_pos"))
     return ft.feature_f_score(f, y, "id", variant).withColumn("score", F.round("score", 6))
@@ -245,11 +259,12 @@ for _v in ("sum", "mean"):
 
 
 @query("agg_16_vector_cluster_counts", f"""
-WITH {C}, {top(500)}, {TOK}
+WITH {C}, {top()}, {TOK}
 SELECT doc_id, CAST(label AS BIGINT) AS feature, CAST(sum(tf) AS BIGINT) AS value FROM tok JOIN v USING (token) JOIN embeddings ON vec_id = id GROUP BY 1, 2""")
 def agg_16(spark, sf):
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id"))
-    return ft.vector_cluster_features(_tf(spark, sf), _top(spark, sf, 500).join(emb, "id"))
+    bags = _bags(spark, sf)
+    return ft.vector_cluster_features(bags, _top(bags).join(emb, "id"))
 
 
 # ---- weights ----
@@ -257,7 +272,8 @@ def agg_16(spark, sf):
 @query("ml_01_word_counts", f"""
 WITH {C}, {top(1000)}, {TOK} SELECT doc_id, id AS feature, tok.tf AS value FROM tok JOIN v USING (token)""")
 def ml_01(spark, sf):
-    hits = jn.join_dictionary(_tf(spark, sf), _top(spark, sf, 1000).select("token", "id"))
+    bags = _bags(spark, sf)
+    hits = jn.join_dictionary(bags, _top(bags, 1000).select("token", "id"))
     return hits.select("doc_id", F.col("id").alias("feature"), F.col("tf").alias("value"))
 
 
@@ -270,24 +286,26 @@ SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)
 PRUNED = f"df >= 5 AND df <= {N} * 0.5"
 
 
-def _pruned(spark, sf):
-    return vocab.top_features(_counts(spark, sf), _n(spark, sf), None, 5, 0.5)
+def _pruned(spark, sf, bags):
+    return vocab.top_features(vocab.corpus_counts(bags), _n(spark, sf), None, 5, 0.5)
 
 
 @query("ml_02_tfidf_smooth", _tfidf_sql("tf", f"(ln((1.0 + {N}) / (1 + df)) + 1)", PRUNED))
 def ml_02(spark, sf):
-    return ft.tfidf_smooth(_tf(spark, sf), _pruned(spark, sf), _n(spark, sf)).withColumn("w", F.round("w", 6))
+    bags = _bags(spark, sf)
+    return ft.tfidf_smooth(bags, _pruned(spark, sf, bags), _n(spark, sf)).withColumn("w", F.round("w", 6))
 
 
 @query("ml_02_tfidf_sublinear", _tfidf_sql("(1 + ln(tf))", f"(ln((1.0 + {N}) / (1 + df)) + 1)", PRUNED))
 def ml_02_sub(spark, sf):
-    return ft.tfidf_smooth(_tf(spark, sf), _pruned(spark, sf), _n(spark, sf), sublinear=True).withColumn("w", F.round("w", 6))
+    bags = _bags(spark, sf)
+    return ft.tfidf_smooth(bags, _pruned(spark, sf, bags), _n(spark, sf), sublinear=True).withColumn("w", F.round("w", 6))
 
 
 @query("ml_03_tfidf_log2", _tfidf_sql("tf", f"log2({N} * 1.0 / df)", "df >= 5"))
 def ml_03(spark, sf):
-    words = _counts(spark, sf).where("df >= 5")
-    return ft.tfidf_log2(_tf(spark, sf), words, _n(spark, sf)).withColumn("w", F.round("w", 6))
+    bags = _bags(spark, sf)
+    return ft.tfidf_log2(bags, vocab.corpus_counts(bags).where("df >= 5"), _n(spark, sf)).withColumn("w", F.round("w", 6))
 
 
 _NG = f"""tok AS (SELECT doc_id, {k.words('text')} AS a FROM documents),
@@ -311,11 +329,11 @@ def ml_04_chars(spark, sf):
 
 
 @query("ml_05_topic_fold_in", f"""
-WITH {C}, {top(500)}, {VEC}, {TOK}
-SELECT doc_id, CAST(d AS INTEGER) AS dim, round(sum(tf * vec[d + 1]), 6) AS value FROM tok JOIN vec USING (token), unnest(generate_series(0, 9)) AS g(d) GROUP BY 1, 2""")
+WITH {C}, {top()}, {VEC}, {TOK}
+SELECT doc_id, CAST(d AS INTEGER) AS dim, round(sum(tf * vec[d + 1]), 6) AS value FROM tok JOIN vec USING (token), unnest(generate_series(0, 63)) AS g(d) GROUP BY 1, 2""")
 def ml_05_fold(spark, sf):
-    topics = _vectors(spark, sf).withColumn("vec", F.slice("vec", 1, 10))
-    return _long(ft.project_topics(_tf(spark, sf).withColumnRenamed("tf", "w"), topics), "doc_id")
+    bags = _bags(spark, sf)
+    return _long(ft.project_topics(bags.withColumnRenamed("tf", "w"), _vectors(spark, sf, _top(bags))), "doc_id")
 
 
 @query("ml_08_analogies", """
@@ -334,7 +352,7 @@ def ml_08(spark, sf):
     word = lambda d: (F.col("vec_id") + d).cast("string")
     # the last three ids have no full quadruple; words outside the vocabulary drop the question
     qs = emb.select(F.col("label").cast("string").alias("section"), word(0).alias("a"), word(1).alias("b"), word(2).alias("c"), word(3).alias("expected"))
-    return ev.analogy_accuracy(vecs, qs, cutoff=30_000)
+    return ev.analogy_accuracy(vecs, qs)
 
 
 @query("ml_10_row_normalizer", """
@@ -379,7 +397,8 @@ SELECT doc_id, arg_max(label, score) AS prediction, round(max(score), 3) AS scor
 
 @query("ml_12_naive_bayes", NB)
 def ml_12(spark, sf):
-    x = jn.join_dictionary(_tf(spark, sf), _top(spark, sf, 1000).select("token", "id")).select("doc_id", "token", "tf")
+    bags = _bags(spark, sf)
+    x = jn.join_dictionary(bags, _top(bags, 1000).select("token", "id")).select("doc_id", "token", "tf")
     labels = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
     classes, model = ft.nb_model(x, labels)
     return ft.nb_predict(x, classes, model).withColumn("score", F.round("score", 3))

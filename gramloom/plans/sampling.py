@@ -9,8 +9,8 @@ from gramloom.operators import clusters as cl
 from gramloom.operators import order, sampling, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
-from gramloom.plans.features import C, CL, TOK, _clusters, top
-from gramloom.session import checkpointed
+from gramloom.plans.features import C, CL, _bags, _clusters, _top, top
+from gramloom.session import settled
 
 N = "(SELECT count(*) FROM documents)"
 
@@ -32,11 +32,11 @@ def win_01(spark, sf):
 
 
 @query("win_03_top_cluster_terms", f"""
-WITH {C}, {top(2000)}, {CL}
+WITH {C}, {top()}, {CL}
 SELECT cluster, token AS word, cf AS freq, CAST(row_number() OVER (PARTITION BY cluster ORDER BY cf DESC, id) AS INTEGER) AS rn FROM cl
 QUALIFY rn <= 10""")
 def win_03(spark, sf):
-    return cl.top_terms(_clusters(spark, sf), 10).select("cluster", "word", "freq", "rn")
+    return cl.top_terms(_clusters(_top(_bags(spark, sf))), 10).select("cluster", "word", "freq", "rn")
 
 
 @query("win_04_word_budget", f"""
@@ -182,7 +182,7 @@ CSTATE = f"""{C}, {top(K, 'w')}, a AS (SELECT token, CAST(id + 1 AS INTEGER) AS
 
 def _cluster_state(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
-    words = checkpointed(vocab.term_counts(docs, "doc_id", analyze("text")))
+    words = settled(vocab.term_counts(docs, "doc_id", analyze("text")))
     pairs = cl.adjacent_pairs(docs, "doc_id", analyze("text"))
     assign = vocab.build_vocab(vocab.most_common(words, K)).select("token", (F.col("id") + 1).cast("int").alias("cluster"))
     return cl.cluster_distributions(words, pairs, assign)
@@ -239,16 +239,16 @@ def jn_12(spark, sf):
 
 
 @query("agg_15_cluster_sizes", f"""
-WITH {C}, {top(2000)}, {CL} SELECT cluster, count(*) AS n_words, (SELECT count(DISTINCT cluster) FROM cl) AS n_clusters FROM cl GROUP BY 1""")
+WITH {C}, {top()}, {CL} SELECT cluster, count(*) AS n_words, (SELECT count(DISTINCT cluster) FROM cl) AS n_clusters FROM cl GROUP BY 1""")
 def agg_15(spark, sf):
-    return cl.cluster_sizes(_clusters(spark, sf))
+    return cl.cluster_sizes(_clusters(_top(_bags(spark, sf))))
 
 
 @query("src_20_cluster_lines", f"""
-WITH {C}, {top(2000)}, {CL}
+WITH {C}, {top()}, {CL}
 SELECT substr(cluster, 1, 4) AS cluster, token AS word, cf AS freq, id AS line, 1 AS n_lines FROM cl WHERE id % 10 <> 3""")
 def src_20(spark, sf):
-    rows = _clusters(spark, sf)
+    rows = _clusters(_top(_bags(spark, sf)))
     broken = F.when(F.col("line") % 10 == 3, F.lit("")).otherwise(F.lit("\t"))
     lines = rows.select("line", F.concat("cluster", broken, "word", F.lit("\t"), F.col("freq").cast("string")).alias("value"))
     return cl.parse_clusters(lines, prefix_size=4)[0]

@@ -9,10 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a dictionary that may be broadcast: 200k short rows stay near 20 MB.
-BROADCAST_ROWS = 200_000
+# A table may be broadcast when its rows take no more than this as JSON, which is longer than Spark's own form.
+BROADCAST_BYTES = 64 << 20
 PART_BYTES = 64 << 20
-MAX_PARTS = 200_000
 UNKNOWN_BYTES = 1 << 50
 
 
@@ -53,9 +52,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint a table whose computation shuffles, so that using it twice does not compute it twice."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return checkpointed(df) if "Exchange" in plan else df
+    """`df` kept in the shared folder, so that using it twice does not compute it twice; a kept table stays as it is."""
+    if getattr(df, "_is_settled", False):
+        return df
+    out = checkpointed(df)
+    out._is_settled = True
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -81,15 +83,18 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     # tables without statistics come with a size near the largest number there is
-    by_size = min(math.ceil(size / PART_BYTES), MAX_PARTS) if size < UNKNOWN_BYTES else 0
+    by_size = math.ceil(size / PART_BYTES) if size < UNKNOWN_BYTES else 0
     by_conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(by_size, by_conf, 2 * spark.sparkContext.defaultParallelism), *keys)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when `df` has at most `rows` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """True when the rows of a settled table take at most `limit` bytes; every task sends one sum."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    return (size or 0) <= limit
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, rows) else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled form of `df`, marked for broadcast if its measured size allows it."""
+    df = settled(df)
+    return F.broadcast(df) if is_small(df, limit) else df

@@ -78,7 +78,7 @@ def test_dictionary_join_beyond_broadcast(spark):
     words = ["hot"] * 4000 + [f"w{i % 400}" for i in range(4000)]
     tokens = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id int, token string")
     dictionary = spark.createDataFrame([("hot", 1)] + [(f"w{i}", i) for i in range(0, 600, 2)], "token string, v int")
-    got = joins.join_dictionary(tokens, dictionary, rows=10, share=50)
+    got = joins.join_dictionary(tokens, dictionary, limit=10, share=50)
     want = joins.join_dictionary(tokens, dictionary)
     key = lambda df: sorted((r["doc_id"], r["token"], r["v"]) for r in df.collect())
     assert key(got) == key(want) and len(key(got)) == 4000 + 2000
@@ -190,6 +190,18 @@ def test_clean_page(spark):
     assert got == 'Bold and "it" the citys, dogs see kept formula_1,formula_2 & (a) x\nend '
 
 
+def test_links_of_any_depth_leave_no_marks(spark):
+    texts = [(0, "a [[x|b [[y|c [[z|d]] ]] ]] end"), (1, "[[unclosed and ]] [[open"), (2, "[[:Own]] [[:File:y|n]] [[File:x|[[in]]]]s [[w:ok| l ]]"), (3, "]] x [["),
+             (4, "[[Haus]]ähnlich \ue010x\ue021"), (5, None), (6, "")]
+    df = spark.createDataFrame(texts, "id int, t string")
+    got = {r["id"]: r["clean"] for r in wiki.clean_pages(df, "t").collect()}
+    assert got == {0: "a b c d end", 1: "unclosed and [[open", 2: ":Own s l", 3: "]] x [[", 4: "Hausähnlich x", 5: None, 6: ""}
+    assert not any(0xE000 <= ord(c) <= 0xF8FF for t in got.values() for c in t or "")
+    edges = sorted((r["id"], r["pos"], r["target"], r["label"]) for r in wiki.link_edges(df, "id", "t").collect())
+    assert [e for e in edges if e[0] in (0, 4)] == [(0, 0, "z", "d"), (0, 1, "y", "c d"), (0, 2, "x", "b c d"), (4, 0, "Haus", "Hausähnlich")]
+    assert wiki.link_edges(df.where("id = 3"), "id", "t").count() == 0
+
+
 def test_links_infobox_sections(spark):
     df = spark.createDataFrame([(1, "[[A|b c]]ful [[D]] {{Infoboks p\n| x = 1\n| long name that is too long = 2\n| y = {{url|u.org}}\n| Y = [[L|m]]\n|z=\n}}\nrest\n")], "id int, t string")
     links = [(r["target"], r["label"]) for r in wiki.link_edges(df, "id", "t").orderBy("pos").collect()]

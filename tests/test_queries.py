@@ -53,7 +53,21 @@ def test_plans_stay_in_the_jvm(spark, sf, name):
     assert "Python" not in text and "ArrowEval" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_term_counts_shuffle_texts_once_and_terms_once(spark, sf):
-    text = plan(QUERIES["flt_11_minimum_count"](spark, sf))
-    assert text.count("Exchange hashpartitioning") == 2
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text or "doc_id" in text
+def test_term_counts_take_one_exchange(spark):
+    from gramloom.functions.tokens import analyze
+    from gramloom.operators import vocab
+
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
+    counts = vocab.term_counts(docs, "doc_id", analyze("text"))
+    assert plan(counts).count("Exchange hashpartitioning") == 1 and "Sort " not in plan(counts)
+
+
+def test_large_top_lists_need_no_single_task(spark):
+    from gramloom.operators import vocab
+
+    df = spark.range(50_000).selectExpr("concat('t', id) AS token", "id % 100 AS tf", "1L AS df")
+    got = vocab.most_common(df, 20_000)
+    assert "TakeOrdered" not in plan(got) and "GlobalLimit" not in plan(got)
+    want = sorted(((99 - i % 100, f"t{i}") for i in range(50_000)))[:20_000]
+    assert sorted((99 - r["tf"], r["token"]) for r in got.collect()) == want
+    assert vocab.most_common(df, 60_000).count() == 50_000
