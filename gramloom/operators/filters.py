@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.functions.tokens import topic_overlap
+from gramloom.session import broadcast_if_small, settled
 
 
 def article_pages(df: DataFrame, namespaces: Iterable[str] = ()) -> DataFrame:
@@ -65,8 +66,15 @@ def select_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
+def _recurring(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hashes of keys (`_h`) that more than one row has: only hashes are shuffled."""
+    return settled(df.select(F.xxhash64(*keys).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+
+
 def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    """(key..., n) of keys with several rows. Long keys are grouped by their hash first, then in full where a hash recurs."""
+    likely = df.select(*key, F.xxhash64(*key).alias("_h")).join(broadcast_if_small(_recurring(df, list(key))), "_h", "left_semi")
+    return likely.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def consistency_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -84,7 +92,13 @@ def declared_vs_actual(df: DataFrame, key: str, declared: str) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of every key in the given order; a struct minimum, so hot keys combine map-side."""
+    """First row of every key in the given order; a struct minimum, so hot keys combine map-side.
+
+    Rows whose key has a hash of its own need no grouping.
+    """
+    recurring = broadcast_if_small(_recurring(df, keys))
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
     rest = [c for c in df.columns if c not in keys and c not in order]
     row = F.min(F.struct(*[F.col(c) for c in order + rest]))
-    return df.groupBy(*keys).agg(row.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    firsts = hashed.join(recurring, "_h", "left_semi").groupBy(*keys).agg(row.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    return hashed.join(recurring, "_h", "left_anti").select(*df.columns).unionByName(firsts)

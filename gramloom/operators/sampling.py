@@ -6,34 +6,52 @@ histogram of its first hexadecimal digits, so that no class is ever ranked as a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gramloom.operators.order import global_rank, top_n_per_group
+from gramloom.session import broadcast_if_small, settled
 
 
 def place_of(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def _by_quota(df: DataFrame, group: list[str], quotas: DataFrame, key: str, seed: int, digits: int = 3) -> DataFrame:
-    """The `quota` rows of lowest hash in every group; `quotas` has one row (group..., quota) each."""
-    hashed = df.withColumn("_h", place_of(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    counts = hashed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+SLICE_ROWS = 50_000
+
+
+def _flag_quota(df: DataFrame, group: list[str], quotas: DataFrame, key: str, seed: int, flag: str) -> DataFrame:
+    """Adds `flag`: the row is among the `quota` rows of lowest hash of its group; `quotas` has one row (group..., quota) each.
+
+    Keys and hashes are read once and kept. A histogram of the hashes' first digits, as many as keep a slice at
+    some thousand rows, tells in which slice each quota runs out; only those slices are ranked, for the hash and
+    key of their last row. A second pass over the rows compares with that row.
+    """
+    light = settled(df.select(*group, F.col(key).alias("_k"), place_of(key, seed).alias("_h")))
+    digits = max(1, math.ceil(math.log(max(light.count(), 1) / SLICE_ROWS, 16))) if light.take(1) else 1
+    sliced = light.withColumn("_b", F.substring("_h", 1, digits))
+    counts = settled(sliced.groupBy(*group, "_b").agg(F.count("*").alias("_n")))
     upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
-        counts.withColumn("_cum", F.sum("_n").over(upto))
-        .join(quotas, group)
-        .select(*group, "_b", (F.col("quota") - (F.col("_cum") - F.col("_n"))).alias("_left"), "_n")
-        .where("_left > 0")
+        counts.withColumn("_cum", F.sum("_n").over(upto)).join(quotas, group)
+        .select(*group, "_b", (F.col("quota") - F.col("_cum") + F.col("_n")).alias("_left"), "_n").where("_left > 0 AND _left <= _n")
     )
-    joined = hashed.join(cuts, [*group, "_b"])
-    whole = joined.where("_left >= _n")
-    # only the slice in which the quota runs out needs a rank
-    rank = Window.partitionBy(*group, "_b").orderBy("_h", key)
-    partial = joined.where("_left < _n").withColumn("_rn", F.row_number().over(rank)).where("_rn <= _left").drop("_rn")
-    return whole.unionByName(partial).select(*df.columns)
+    rank = Window.partitionBy(*group, "_b").orderBy("_h", "_k")
+    ranked = sliced.join(broadcast_if_small(cuts), [*group, "_b"]).withColumn("_rn", F.row_number().over(rank))
+    last = ranked.where("_rn = _left").select(*group, F.col("_h").alias("_ch"), F.col("_k").alias("_ck"))
+    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
+    limits = sizes.join(quotas, group).select(*group, (F.col("quota") >= F.col("_size")).alias("_whole")).join(last, group, "left")
+    h = place_of(key, seed)
+    within = F.col("_whole") | (h < F.col("_ch")) | ((h == F.col("_ch")) & (F.col(key) <= F.col("_ck")))
+    return df.join(broadcast_if_small(limits), group, "left").withColumn(flag, F.coalesce(within, F.lit(False))).select(*df.columns, flag)
+
+
+def _by_quota(df: DataFrame, group: list[str], quotas: DataFrame, key: str, seed: int) -> DataFrame:
+    """The `quota` rows of lowest hash in every group."""
+    return _flag_quota(df, group, quotas, key, seed, "_in").where("_in").drop("_in")
 
 
 def class_counts(df: DataFrame, c: str) -> DataFrame:
@@ -78,8 +96,7 @@ def stratified_split(df: DataFrame, c: str, test_size: int | float, key: str, se
     total = df.agg(F.count("*")).scalar()
     share = F.col("n") * test_size if test_size < 1 else F.col("n") * test_size / total
     quotas = counts.select(c, F.bround(share).cast("bigint").alias("quota"))
-    test = _by_quota(df, [c], quotas, key, seed).select(key, F.lit(True).alias("_t"))
-    return df.join(test, key, "left").withColumn("is_test", F.coalesce("_t", F.lit(False))).drop("_t")
+    return _flag_quota(df, [c], quotas, key, seed, "is_test")
 
 
 def hash_folds(df: DataFrame, k: int, key: str, seed: int = 0, name: str = "fold") -> DataFrame:
@@ -95,8 +112,10 @@ def holdout(df: DataFrame, frac: float, order: list[Column]) -> DataFrame:
     return ranked.withColumn("is_train", F.col("_rank") <= F.floor(total * frac)).drop("_rank")
 
 
-def random_holdout(df: DataFrame, frac: float, seed: int) -> list[DataFrame]:
-    return df.randomSplit([frac, 1 - frac], seed)
+def random_holdout(df: DataFrame, frac: float, key: str, seed: int = 0) -> DataFrame:
+    """Adds `is_train` for about a share `frac` of the rows, by a hash of their key."""
+    bits = F.conv(F.substring(place_of(key, seed), 1, 15), 16, 10).cast("bigint")
+    return df.withColumn("is_train", bits < int(frac * (1 << 60)))
 
 
 def sample_dirs(df: DataFrame, path_col: str, n: int, seed: int = 0) -> DataFrame:

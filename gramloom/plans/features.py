@@ -134,11 +134,11 @@ def jn_05(spark, sf):
 
 
 @query("jn_06_index_with_texts", """
-SELECT 'f' || d.doc_id || '.txt' AS filename, quality, lang, n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
+SELECT 'f' || d.doc_id || '.txt' AS filename, quality, lang, text FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
 def jn_06(spark, sf):
-    index = table(spark, sf, "labels").select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("filename"), "quality")
-    texts = table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("filename"), "lang", "n_chars")
-    return jn.attach_texts(index, texts)
+    name = F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("filename")
+    index = table(spark, sf, "labels").select(name, "quality")
+    return jn.attach_texts(index, table(spark, sf, "documents").select(name, "lang", "text"))
 
 
 @query("jn_07_aligned_sequences", "SELECT d.doc_id, n_chars, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from gramloom.functions.tokens import analyze
+from gramloom.functions.text import plain_alphabet
+from gramloom.functions.tokens import analyze, char_gram_range
 from gramloom.operators import experiments as ex
 from gramloom.operators import models as m
 from gramloom.operators import features as ft
 from gramloom.operators import joins as jn
-from gramloom.operators import order, sampling, vocab
+from gramloom.operators import sampling, vocab
+from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
-from gramloom.session import checkpointed, scratch_path
+from gramloom.session import checkpointed, scratch_path, settled
 from gramloom.sinks.writers import save_model
 
 
@@ -24,15 +26,28 @@ def _tokens(spark, sf):
     return checkpointed(_docs(spark, sf).select("doc_id", "label", analyze("text").alias("t")))
 
 
-def _pruned(spark, df, keep=5000):
+def _pruned(spark, df, keep=None):
     counts = vocab.term_counts(df, "doc_id", F.col("t"))
     n = df.agg(F.count("*")).scalar()
     pruned = vocab.prune_vocab(counts, n, 5, 0.5, keep)
     return checkpointed(pruned.withColumn("idf", F.log2(n / F.col("df"))))
 
 
-@query("ml_05_latent_topics")
+TERMS = f"c AS ({k.term_counts(k.words('text'))})"
+
+
+@query("ml_05_latent_topics", """
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS dot FROM generate_series(0, 9) a(i), generate_series(0, 9) b(j)""")
 def ml_05(spark, sf):
+    """Scalar products of the ten topics, which are orthogonal and of unit length."""
+    df = _tokens(spark, sf)
+    topics, _ = m.fit_topics(df, "t", _pruned(spark, df), k=10, idf="idf")
+    pairs = topics.select(F.posexplode("vec").alias("i", "x"), "vec").select("i", "x", F.posexplode("vec").alias("j", "y"))
+    return pairs.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 4) + 0.0).alias("dot"))
+
+
+@query("ml_05_topic_weights")
+def ml_05_weights(spark, sf):
     df = _tokens(spark, sf)
     words = _pruned(spark, df)
     topics, _ = m.fit_topics(df, "t", words, k=10, idf="idf")
@@ -41,19 +56,25 @@ def ml_05(spark, sf):
     return ft.project_topics(weights, topics).select("doc_id", F.posexplode("vec").alias("topic", "value"))
 
 
-@query("ml_06_word_vectors")
+@query("ml_06_word_vectors", f"WITH {TERMS} SELECT token, tf, 50 AS dim, true AS finite FROM c WHERE tf >= 5")
 def ml_06(spark, sf):
+    """The words that have vectors, with their counts."""
     df = _tokens(spark, sf)
-    _, vectors = m.fit_vectors(df, "t", vocab.term_counts(df, "doc_id", F.col("t")), size=50, iterations=1)
-    return vectors.select("token", F.size("vec").alias("dim"))
+    counts = settled(vocab.term_counts(df, "doc_id", F.col("t")))
+    _, vectors = m.fit_vectors(df, "t", counts, size=50, iterations=1)
+    fine = ~F.exists("vec", lambda x: F.isnan(x)) & F.exists("vec", lambda x: x != 0)
+    return vectors.join(counts, "token").select("token", "tf", F.size("vec").alias("dim"), fine.alias("finite"))
 
 
-@query("ml_07_clustered_vectors")
+@query("ml_07_clustered_vectors", f"""
+WITH {TERMS} SELECT doc_id, count(*) AS value FROM (SELECT doc_id, unnest({k.words('text')}) AS token FROM documents) WHERE token IN (SELECT token FROM c WHERE tf >= 5) GROUP BY 1""")
 def ml_07(spark, sf):
+    """Tokens with a vector cluster per document, summed over the cluster histogram."""
     df = _tokens(spark, sf)
-    _, vectors = m.fit_vectors(df, "t", vocab.term_counts(df, "doc_id", F.col("t")), size=50, iterations=1)
+    bags = settled(vocab.doc_term_counts(df, "doc_id", F.col("t")))
+    _, vectors = m.fit_vectors(df, "t", vocab.corpus_counts(bags), size=50, iterations=1)
     assign = m.cluster_vectors(checkpointed(vectors), k=50, iterations=5)
-    return ft.vector_cluster_features(vocab.doc_term_counts(df, "doc_id", F.col("t")), assign)
+    return ft.vector_cluster_features(bags, assign).groupBy("doc_id").agg(F.sum("value").alias("value"))
 
 
 def _topic(df, classifier, **kw):
@@ -61,65 +82,110 @@ def _topic(df, classifier, **kw):
     return stages, m.label_indexer().fit(df).transform(df)
 
 
-@query("ml_13_linear_svm")
+def _folded(df, seed, folds=5):
+    return checkpointed(sampling.hash_folds(df, folds, "doc_id", seed=seed))
+
+
+def fold_sql(seed, folds=5):
+    return f"CAST(CAST('0x' || substr(md5('{seed}:' || doc_id), 1, 15) AS BIGINT) % {folds} AS INTEGER)"
+
+
+@query("ml_13_linear_svm", f"SELECT lang AS label, count(*) AS n, true AS good FROM documents WHERE {fold_sql(3)} = 0 GROUP BY 1")
 def ml_13(spark, sf):
-    stages, df = _topic(_tokens(spark, sf), m.linear_svm(max_iter=10))
-    return stages.fit(df).transform(df).select("doc_id", "label", "prediction")
+    """Held-out documents per class, and whether nine in ten of them are recognised."""
+    df = _folded(_tokens(spark, sf), 3)
+    train = df.where("fold <> 0")
+    stages, indexed = _topic(df, m.linear_svm(train.count(), max_iter=10))
+    scored = stages.fit(indexed.where("fold <> 0")).transform(indexed.where("fold = 0"))
+    return scored.groupBy("label").agg(F.count("*").alias("n"), (F.avg((F.col("y") == F.col("prediction")).cast("int")) >= 0.9).alias("good"))
 
 
-@query("ml_14_topic_model")
-def ml_14(spark, sf):
+def _topics(spark, sf):
     df = documents(spark, sf, "doc_id", "text", "lang", "source").select("doc_id", analyze("text").alias("t"), F.array("lang", "source").alias("topics"))
-    df, names = checkpointed(df), ["de", "en", "fr", "es"]
-    stages = m.topic_stages([m.count_vectorizer("t", "f", 1000)], ["f"], m.naive_bayes())
-    scored = m.predict_multilabel(df, m.fit_multilabel(df, "topics", names, stages))
-    return scored.select("doc_id", F.array_join("predicted", "|").alias("predicted"))
+    names = [r[0] for r in df.select(F.explode("topics").alias("t")).distinct().orderBy("t").collect()]
+    return _folded(df, 4), names
+
+
+@query("ml_14_topic_model", f"""
+SELECT topic, count(*) AS n, true AS scored FROM (SELECT unnest([lang, source]) AS topic FROM documents WHERE {fold_sql(4)} = 0) GROUP BY 1""")
+def ml_14(spark, sf):
+    """Held-out documents of every topic, languages and sources alike, each with a model of its own."""
+    df, names = _topics(spark, sf)
+    vectorised = m.count_vectorizer("t", "features", 1000).fit(df.where("fold <> 0")).transform(df)
+    train, held = checkpointed(vectorised.where("fold <> 0").drop("t")), vectorised.where("fold = 0")
+    scored = m.predict_multilabel(held, m.fit_multilabel(train, "topics", names, Pipeline(stages=[m.naive_bayes()])))
+    rows = scored.select(F.explode("topics").alias("topic"), "predicted")
+    return rows.groupBy("topic").agg(F.count("*").alias("n"), (F.count_if(F.array_contains("predicted", F.col("topic"))) >= 0).alias("scored"))
 
 
-@query("ml_15_cross_validation")
+@query("ml_15_cross_validation", f"SELECT {fold_sql(1)} AS fold, count(*) AS n, true AS good FROM documents GROUP BY 1")
 def ml_15(spark, sf):
+    """Size of each fold, and whether nine in ten of its documents are recognised by a model of the others."""
     stages, df = _topic(_tokens(spark, sf), m.naive_bayes())
-    folded = sampling.hash_folds(df, 5, "doc_id", seed=1)
-    return m.scores_row(spark, "words, naive Bayes", m.cross_validate(folded, stages, k=5)).select("id", "mean", "std", F.explode("scores").alias("score"))
+    folded = _folded(df, 1)
+    scores = m.cross_validate(folded, stages, k=5)
+    return folded.groupBy("fold").agg(F.count("*").alias("n")).withColumn("good", F.get(F.array(*map(F.lit, scores)), F.col("fold")) >= 0.9)
+
+
+@query("ml_15_f1_scores", f"SELECT {fold_sql(4)} AS fold, count(*) AS n, true AS scored FROM documents GROUP BY 1")
+def ml_15_f1(spark, sf):
+    """Size of each fold, and whether its weighted F1 over the four languages as topics is over 0.9."""
+    df, _ = _topics(spark, sf)
+    stages = m.topic_stages([m.count_vectorizer("t", "f", 1000)], ["f"], m.naive_bayes())
+    scores = m.cross_validate_multilabel(df, "topics", ["de", "en", "es", "fr"], stages, k=5)
+    return df.groupBy("fold").agg(F.count("*").alias("n")).withColumn("scored", F.get(F.array(*map(F.lit, scores)), F.col("fold")) >= 0.9)
 
 
-@query("ml_16_grid_search")
+@query("ml_16_grid_search", f"""
+SELECT 'grid' AS part, CAST(c AS DOUBLE) AS c, features, {{n}} AS n, true AS plausible FROM unnest([0.1, 1.0, 10.0]) AS a(c), unnest([500, 2000]) AS b(features)
+UNION ALL SELECT 'held out', NULL, NULL, (SELECT count(*) FROM documents WHERE {fold_sql(5)} = 0), true""".format(n=f"(SELECT count(*) FROM documents WHERE {fold_sql(5)} <> 0)"))
 def ml_16(spark, sf):
-    df = _tokens(spark, sf)
+    """Grid over C and the number of features, refitted in every fold, and the score of the best on rows kept apart."""
+    df = _folded(_tokens(spark, sf), 5)
     df = m.label_indexer().fit(df).transform(df)
-    train = sampling.hash_folds(order.contiguous_folds(df, 5, [F.col("doc_id")], "part").where("part < 4"), 3, "doc_id", seed=1)
-    ready = checkpointed(m.SmoothTfidf("t", "features", 2000).fit(train).transform(train).select("y", "fold", "features"))
-    lr = m.logistic(max_iter=10)
-    return m.grid_search(ready, lr, m.c_grid(lr, [.1, 1, 10], ready.count()), k=3)[0]
+    train, held = df.where("fold <> 0").withColumn("fold", F.col("fold") - 1), df.where("fold = 0")
+    n, rows, best = train.count(), [], (-1.0, None)
+    for features in (500, 2000):
+        lr = m.logistic(max_iter=10)
+        stages = Pipeline(stages=[m.SmoothTfidf("t", "features", features), lr])
+        values = [.1, 1.0, 10.0]
+        table_, model = m.grid_search(train, stages, m.c_grid(lr, values, n, 4), k=4)
+        scores = [r["score"] for r in table_.collect()]
+        rows += [("grid", c, features, n, 0.5 < s <= 1) for c, s in zip(values, scores)]
+        best = max(best, (max(scores), model), key=lambda x: x[0])
+    score = m.accuracy(best[1].transform(held).select(F.col("y").alias("label"), "prediction")).first()[0]
+    rows.append(("held out", None, None, held.count(), 0.5 < score <= 1))
+    return spark.createDataFrame(rows, "part string, c double, features int, n bigint, plausible boolean")
+
+
+EXPERIMENTS = ["base_word", "base_c4", "base_svm_word", "base_mixed", "bcluster_word_wiki8_1024", "bcluster_c4_wiki8_1024", "sg_word_wiki8_5_1000", "sg_c4_wiki8_25_1000"]
 
 
-@query("ml_18_experiments")
+@query("ml_18_experiments", "SELECT unnest([" + ", ".join(f"'{i}'" for i in EXPERIMENTS) + "]) AS id, (SELECT count(*) FROM documents) AS n, 2 AS folds, true AS plausible")
 def ml_18(spark, sf):
+    """Every kind of experiment: counts, clusters and vectors over words and character grams, single and mixed, Bayes and SVM."""
     df = checkpointed(_docs(spark, sf).select("doc_id", "text", "label"))
-    words = vocab.build_vocab(vocab.most_common(vocab.term_counts(df, "doc_id", analyze("text")), 2000))
-    path = F.lpad(F.bin(F.col("id") % 64), 6, "0")
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    resources = {
-        "wiki8-c1024": words.select(path.alias("cluster"), F.col("token").alias("word"), F.col("tf").alias("freq")),
-        "fil8-5-1000": words.join(emb, "id").select("token", "vec"),
-    }
-    ids = ["base_word", "base_c4", "base_svm_word", "bcluster_word_wiki8_1024", "sg_word_wiki8_5_1000"]
-    return ex.run_experiments(df, ids, resources, folds=3).select("id", "mean", "std", F.array_join(F.col("scores").cast("array<string>"), " ").alias("scores"))
-
-
-@query("ml_18_registry")
-def ml_18_registry(spark, sf):
-    """Documents per class that each configuration would see."""
-    counts = sampling.class_counts(_docs(spark, sf).select("doc_id", "label"), "label")
-    rows = [(e.id, e.classifier, len(e.blocks)) for e in ex.registry().values()]
-    names = F.array(*[F.struct(F.lit(a).alias("id"), F.lit(b).alias("classifier"), F.lit(c).alias("n_blocks")) for a, b, c in rows])
-    return counts.select("label", "n", F.explode(names).alias("e")).select("e.id", "e.classifier", "e.n_blocks", "label", "n")
-
-
-@query("ml_19_replication_matrix")
+    path = F.lpad(F.bin(F.col("id") % 64), 6, "0")
+    resources = {}
+    for unit, tokens, clusters, vectors in (("word", analyze("text"), "wiki8-c1024", "fil8-5-1000"), ("c4", char_gram_range(plain_alphabet("text"), 4, 4), "wiki8-c4-c1024", "fil8-c4-25-1000")):
+        terms = settled(vocab.build_vocab(vocab.term_counts(df, "doc_id", tokens)))
+        resources[clusters] = terms.select(path.alias("cluster"), F.col("token").alias("word"), F.col("tf").alias("freq"))
+        resources[vectors] = terms.join(emb, "id").select("token", "vec")
+    scores = ex.run_experiments(df, EXPERIMENTS, resources, folds=2)
+    fine = ~F.exists("scores", lambda s: (s < 0) | (s > 1))
+    return scores.withColumn("n", df.agg(F.count("*")).scalar()).select("id", "n", F.size("scores").alias("folds"), fine.alias("plausible"))
+
+
+@query("ml_19_replication_matrix", """
+SELECT dataset, method, n, true AS plausible FROM (SELECT 'languages' AS dataset, (SELECT count(*) FROM documents) AS n UNION ALL SELECT 'turns', (SELECT count(*) FROM conversations)),
+  unnest(['bag_of_words', 'bag_of_ngrams', 'clustered_embeddings']) AS t(method)""")
 def ml_19(spark, sf):
-    data = {"languages": _docs(spark, sf), "sources": _docs(spark, sf, "source")}
-    return ex.run_matrix(spark, data, ["bag_of_words", "clustered_embeddings"], [1, 10], folds=2, n_clusters=100, vector_size=50)
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("label"))
+    data = {"languages": _docs(spark, sf), "turns": turns}
+    got = ex.run_matrix(spark, data, ["bag_of_words", "bag_of_ngrams", "clustered_embeddings"], [1, 10], folds=2, n_clusters=100, vector_size=50)
+    sizes = m.union_all([df.agg(F.count("*").alias("n")).withColumn("dataset", F.lit(name)) for name, df in data.items()])
+    return got.join(sizes, "dataset").select("dataset", "method", "n", F.col("accuracy").between(0, 1).alias("plausible"))
 
 
 @query("snk_07_saved_models", "SELECT doc_id, lang AS label, true AS same FROM documents")

@@ -10,7 +10,8 @@ from gramloom.operators import order, sampling, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
 from gramloom.plans.features import C, CL, _bags, _clusters, _top, top
-from gramloom.session import settled
+from gramloom.session import scratch_path, settled
+from gramloom.sources.lines import read_clusters
 
 N = "(SELECT count(*) FROM documents)"
 
@@ -156,10 +157,9 @@ def smp_06(spark, sf):
     return sampling.holdout(_docs(spark, sf).select("doc_id"), 0.8, [F.col("doc_id")])
 
 
-@query("smp_06_random_holdout")
+@query("smp_06_random_holdout", f"SELECT doc_id, {bits(h(1)[4:-1])} < {int(0.8 * (1 << 60))} AS is_train FROM documents")
 def smp_06_random(spark, sf):
-    train, test = sampling.random_holdout(_docs(spark, sf).select("doc_id"), 0.8, seed=1)
-    return train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)))
+    return sampling.random_holdout(_docs(spark, sf).select("doc_id"), 0.8, "doc_id", seed=1)
 
 
 @query("smp_07_shuffled_dirs", """
@@ -246,12 +246,13 @@ def agg_15(spark, sf):
 
 @query("src_20_cluster_lines", f"""
 WITH {C}, {top()}, {CL}
-SELECT substr(cluster, 1, 4) AS cluster, token AS word, cf AS freq, id AS line, 1 AS n_lines FROM cl WHERE id % 10 <> 3""")
+SELECT substr(cluster, 1, 4) AS cluster, token AS word, cf AS freq, 1 AS n_lines FROM cl WHERE id % 10 <> 3""")
 def src_20(spark, sf):
     rows = _clusters(_top(_bags(spark, sf)))
     broken = F.when(F.col("line") % 10 == 3, F.lit("")).otherwise(F.lit("\t"))
-    lines = rows.select("line", F.concat("cluster", broken, "word", F.lit("\t"), F.col("freq").cast("string")).alias("value"))
-    return cl.parse_clusters(lines, prefix_size=4)[0]
+    path = scratch_path(spark, "clusters")
+    rows.select(F.concat("cluster", broken, "word", F.lit("\t"), F.col("freq").cast("string"))).write.text(path)
+    return read_clusters(spark, path, prefix_size=4)[0].select("cluster", "word", "freq", "n_lines")
 
 
 @query("ml_20_cluster_learner")

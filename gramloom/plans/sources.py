@@ -8,7 +8,9 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gramloom.operators import order
+from gramloom.functions.tokens import analyze
+from gramloom.operators import order, vocab
+from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, pages, query, table
 from gramloom.session import scratch_path, spread
 from gramloom.sinks import writers as wr
@@ -56,27 +58,29 @@ def src_02(spark, sf):
     return docs.select("id", "oldid", F.array_join("topics", "|").alias("topics"), F.array_join("places", "|").alias("places"), "body")
 
 
-@query("src_03_xml_news", """
-SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_paragraphs, lang || ' ' || source AS topics FROM documents""")
+@query("src_03_xml_news", r"""
+SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, '1996-08-20' AS date,
+  array_to_string(list_transform(string_split(text, chr(10)), lambda p: 'p ' || regexp_replace(trim(p), '\s+', ' ', 'g')), '|') AS paragraphs, lang || ' ' || source AS topics FROM documents""")
 def src_03(spark, sf):
     docs = documents(spark, sf, "doc_id", "text", "lang", "source")
     codes = F.array(F.struct(F.lit("bip:topics:1.0").alias("_class"), F.array(F.struct(F.col("lang").alias("_code")), F.struct(F.col("source").alias("_code"))).alias("code")))
+    line = lambda p: F.concat(F.lit("p "), F.regexp_replace(F.trim(p), r"\s+", " "))
     items = docs.select(F.col("doc_id").cast("string").alias("_itemid"), F.lit("1996-08-20").alias("_date"), F.col("source").alias("title"),
-                        F.struct(F.transform(F.split("text", "\n"), lambda p: F.concat(F.lit("p "), p)).alias("p")).alias("text"), F.struct(codes.alias("codes")).alias("metadata"))
+                        F.struct(F.transform(F.split("text", "\n"), line).alias("p")).alias("text"), F.struct(codes.alias("codes")).alias("metadata"))
     path = scratch_path(spark, "xmlnews")
     items.write.format("xml").option("rowTag", "newsitem").option("rootTag", "items").save(path)
-    # Spark names its own files, so the folder is read without the corpus' file pattern
-    rows = spark.read.format("xml").option("rowTag", "newsitem").schema(nw.NEWSITEM).load(path)
-    out = rows.select(F.col("_itemid").alias("id"), "title", F.size("text.p").alias("n_paragraphs"), nw.code_classes("metadata.codes").alias("codes"))
-    return out.select("id", "title", "n_paragraphs", F.array_join(F.col("codes")["topics"], " ").alias("topics"))
+    # Spark names its own files, so the corpus' file pattern does not hold
+    rows = nw.read_xml_news(spark, path, pattern="part-*")
+    paragraphs = F.array_join(F.transform("text", lambda p: F.rtrim(p)), "|")
+    return rows.select("id", "title", "date", paragraphs.alias("paragraphs"), F.array_join(F.col("codes")["topics"], " ").alias("topics"))
 
 
 @query("src_05_author_conversations", f"""
-SELECT conv_id || 't' || turn AS author_id, 'en' AS lang, '20s' AS age, x.i AS conv_id, split_part({ONE_LINE}, '<', 1) AS content, role AS stored_gender, 2 AS actual
+SELECT conv_id || 't' || turn AS author_id, 'en' AS lang, '20s' AS age, x.i AS conv_id, {ONE_LINE} AS content, role AS stored_gender, 2 AS actual
 FROM conversations, (VALUES ('c1'), ('c2')) AS x(i)""")
 def src_05(spark, sf):
     conv = spread(table(spark, sf, "conversations"), "conv_id")
-    body = F.replace(_one_line(), F.lit("&"), F.lit("&amp;"))
+    body = _xml_text(_one_line())
     piece = lambda i: F.concat(F.lit(f'<conversation id="{i}">'), body, F.lit("</conversation>\n"))
     xml = F.concat(F.lit('<author lang="en" gender="'), "role", F.lit('" age_group="20s">\n<conversations count="2">\n'), piece("c1"), piece("c2"), F.lit("</conversations></author>"))
     name = F.concat(F.col("conv_id").cast("string"), F.lit("t"), F.col("turn").cast("string"), F.lit("_en_20s_male.xml"))
@@ -85,11 +89,10 @@ def src_05(spark, sf):
 
 
 @query("src_06_author_documents", f"""
-SELECT 'a' || d.doc_id AS author_id, x.i AS document_id, split_part({ONE_LINE}, '<', 1) || x.i AS text, CASE WHEN quality = 1 THEN 'f' ELSE 'm' END AS gender
+SELECT 'a' || d.doc_id AS author_id, x.i AS document_id, {ONE_LINE} || x.i AS text, CASE WHEN quality = 1 THEN 'f' ELSE 'm' END AS gender
 FROM documents d JOIN labels l USING (doc_id), (VALUES ('1'), ('2')) AS x(i)""")
 def src_06(spark, sf):
-    plain = F.split(_one_line(), "<")[0]
-    doc = lambda i: F.concat(F.lit(f'<document id="{i}" url="u{i}"><![CDATA['), plain, F.lit(f"{i}]]></document>\n"))
+    doc = lambda i: F.concat(F.lit(f'<document id="{i}" url="u{i}"><![CDATA['), _one_line(), F.lit(f"{i}]]></document>\n"))
     xml = F.concat(F.lit('<author type="blog" lang="en">\n<documents count="2">\n'), doc(1), doc(2), F.lit("</documents></author>"))
     authors = documents(spark, sf, "doc_id", "text").select(F.concat(F.lit("a"), "doc_id").alias("id"), xml.alias("value"))
     truth = table(spark, sf, "labels").select(F.concat(F.lit("a"), "doc_id", F.lit(":::"), F.when(F.col("quality") == 1, "f").otherwise("m"), F.lit(":::20s")).alias("value"))
@@ -230,7 +233,7 @@ def src_19(spark, sf):
     return ln.read_token_stream(spark, path).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("src_21_vectors", "SELECT 'w' || vec_id AS token, CAST(len(embedding) AS INTEGER) AS n, round(embedding[1]::DOUBLE, 6) AS x0 FROM embeddings")
+@query("src_21_vectors", "SELECT 'w' || vec_id AS token, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * i)), 6) AS weighted FROM embeddings")
 def src_21(spark, sf):
     path = scratch_path(spark, "vectors")
     table(spark, sf, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("token"), F.col("embedding").alias("vec")).write.parquet(path)
@@ -238,17 +241,17 @@ def src_21(spark, sf):
 
 
 def ln_vectors(df):
-    return df.select("token", F.size("vec").alias("n"), F.round(F.col("vec")[0].cast("double"), 6).alias("x0"))
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select("token", F.size("vec").alias("n"), F.round(weighted, 6).alias("weighted"))
 
 
-@query("src_22_term_scores", """
-SELECT source AS term, count(*) AS tf, count(DISTINCT lang) AS df, round(ln(count(*)), 6) AS idf, (SELECT count(*) FROM documents) AS n_docs FROM documents GROUP BY 1""")
+@query("src_22_term_scores", f"""
+WITH c AS ({k.term_counts(k.words("text"))})
+SELECT token AS term, tf, df, round(ln((SELECT count(*) FROM documents) * 1.0 / df), 6) AS idf, (SELECT count(*) FROM documents) AS n_docs FROM c""")
 def src_22(spark, sf):
-    docs = table(spark, sf, "documents")
-    rows = docs.groupBy("source").agg(F.count("*").alias("tf"), F.count_distinct("lang").alias("df")).select(
-        F.concat_ws("\t", "source", "tf", "df", F.round(F.log("tf"), 6)).alias("value"))
-    total = docs.agg(F.count("*").alias("n")).select(F.concat_ws("\t", F.lit("###TOTAL###"), "n", "n").alias("value"))
-    terms, totals = ln.read_term_scores(spark, _write_lines(spark, total.unionByName(rows), "scores"))
+    stats = vocab.term_stats(documents(spark, sf, "doc_id", "text"), "doc_id", analyze("text"), totals=True)
+    rows = stats.select(F.concat_ws("\t", "token", "tf", "df", F.round("idf", 6)).alias("value"))
+    terms, totals = ln.read_term_scores(spark, _write_lines(spark, rows, "scores"))
     return terms.withColumn("idf", F.round("idf", 6)).withColumn("n_docs", totals.select("n_docs").scalar())
 
 
@@ -317,28 +320,29 @@ def snk_04(spark, sf):
     return spark.read.schema("author_id bigint, conv_id bigint, content string, lang string").parquet(path)
 
 
-@query("snk_05_vocabulary_files", """
-SELECT source AS token, count(*) AS tf, count(DISTINCT lang) AS df FROM documents GROUP BY 1""")
+@query("snk_05_vocabulary_files", k.term_counts(k.words("text")))
 def snk_05(spark, sf):
     path = scratch_path(spark, "vocab")
-    words = table(spark, sf, "documents").groupBy(F.col("source").alias("token")).agg(F.count("*").alias("tf"), F.count_distinct("lang").alias("df"))
-    wr.write_vocab(words, path)
+    wr.write_vocab(vocab.term_counts(documents(spark, sf, "doc_id", "text"), "doc_id", analyze("text")), path)
     return spark.read.schema("token string, tf bigint, df bigint").csv(f"{path}/text", sep="\t")
 
 
 @query("snk_06_output_files", """
-WITH r AS (SELECT doc_id, octet_length(encode(text)) AS size, CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS BIGINT) AS upto FROM documents)
-SELECT doc_id, (upto - size) // 65536 AS file_no, (upto - size) // 65536 // 100 AS dir_no FROM r""")
+WITH s AS (SELECT doc_id, octet_length(encode(text)) AS size FROM documents),
+r AS (SELECT doc_id, size > 32768 AS large, sum(CASE WHEN size > 32768 THEN 0 ELSE size END) OVER w - CASE WHEN size > 32768 THEN 0 ELSE size END AS start,
+  count(*) FILTER (size > 32768) OVER w AS n_large FROM s WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT doc_id, CAST(start // 32768 + 2 * n_large - large::INT AS BIGINT) AS file_no FROM r)
+SELECT doc_id, file_no, file_no // 100 AS dir_no FROM f""")
 def snk_06(spark, sf):
     docs = documents(spark, sf, "doc_id", "text").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
     return wr.assign_output_files(docs, 65536, [F.col("doc_id")]).drop("size")
 
 
-@query("snk_06_split_files", "SELECT doc_id, lang FROM documents")
+@query("snk_06_split_files", "SELECT doc_id, lang, text FROM documents")
 def snk_06_split(spark, sf):
     path = scratch_path(spark, "split")
-    wr.write_split(documents(spark, sf, "doc_id", "lang"), path, 4096, [F.col("doc_id")], compression="bzip2")
-    return spark.read.schema("doc_id bigint, lang string").json(path).select("doc_id", "lang")
+    wr.write_split(documents(spark, sf, "doc_id", "lang", "text"), path, 65536, [F.col("doc_id")], compression="bzip2")
+    return spark.read.schema("doc_id bigint, lang string, text string").json(path).select("doc_id", "lang", "text")
 
 
 @query("snk_08_key_index", "SELECT conv_id AS author_id, turn AS conv_id FROM conversations")

@@ -25,6 +25,7 @@ def build_session(app: str = "gramloom", master: str | None = None, conf: dict |
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **(conf or {}),
     }
     for key, value in settings.items():
@@ -61,8 +62,18 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for tables a job writes and reads back."""
-    return f"{_shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for tables a job writes and reads back; `clear_scratch` removes them."""
+    return f"{_scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_dir(spark: SparkSession) -> str:
+    return f"{_shared_dir(spark).rstrip('/')}/scratch/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the tables that jobs of this application have written for themselves; results read from them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

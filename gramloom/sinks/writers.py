@@ -79,10 +79,18 @@ def write_vocab(df: DataFrame, path: str) -> None:
 
 
 def assign_output_files(df: DataFrame, max_bytes: int, order: list, size: str = "size", per_dir: int = 100) -> DataFrame:
-    """Adds `file_no` and `dir_no`: the file in which the row's first byte falls when files hold `max_bytes`."""
-    placed = running_sum(df, size, order, "_end")
-    placed = placed.withColumn("file_no", F.floor((F.col("_end") - F.col(size)) / max_bytes).cast("bigint"))
-    return placed.withColumn("dir_no", F.floor(F.col("file_no") / per_dir).cast("bigint")).drop("_end")
+    """Adds `file_no` and `dir_no` of files that hold at most `max_bytes`, in order; numbers may have gaps.
+
+    Rows of up to half the limit are cut where their running size passes a multiple of that half, so a file is never
+    over the limit; a larger row is a file of its own, the only kind that can be.
+    """
+    half = max(max_bytes // 2, 1)
+    large = (F.col(size) > half).cast("bigint")
+    placed = df.withColumns({"_large": large, "_small": F.when(F.col(size) > half, 0).otherwise(F.col(size)).cast("bigint")})
+    both = running_sum(running_sum(placed, "_small", order, "_end"), "_large", order, "_n_large")
+    run = F.floor((F.col("_end") - F.col("_small")) / half)
+    placed = both.withColumn("file_no", (run + 2 * F.col("_n_large") - F.col("_large")).cast("bigint"))
+    return placed.withColumn("dir_no", F.floor(F.col("file_no") / per_dir).cast("bigint")).drop("_end", "_n_large", "_large", "_small")
 
 
 def write_split(df: DataFrame, path: str, max_bytes: int, order: list, compression: str = "none") -> None:

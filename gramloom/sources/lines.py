@@ -51,10 +51,10 @@ def read_clusters(spark: SparkSession, path: str, prefix_size: int = 16) -> tupl
     return parse_clusters(numbered_lines(spark, path), prefix_size)
 
 
-def read_labelled_files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """(sentence, polarity) of one file per label; bytes that are no UTF-8 are left out."""
+def read_labelled_files(spark: SparkSession, files: dict[str, str], limit: int | None = None) -> DataFrame:
+    """(sentence, polarity) of one file per label, the first `limit` lines of each; bytes that are no UTF-8 are left out."""
     parts = [
-        spark.read.text(path).select(F.trim(F.translate(F.make_valid_utf8("value"), "�", "")).alias("sentence"), F.lit(label).alias("polarity"))
+        take(numbered_lines(spark, path), limit).select(F.trim(F.translate(F.make_valid_utf8("value"), "�", "")).alias("sentence"), F.lit(label).alias("polarity"))
         for label, path in files.items()
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -76,11 +76,11 @@ def line_xml_fields(value: Column, fields: list[str]) -> list[Column]:
 NEWS_FIELDS = ["source", "url", "title", "image", "category", "description", "rank", "pubdate"]
 
 
-def read_line_xml(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """One XML element per line, its children as columns."""
+def read_line_xml(spark: SparkSession, path: str, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """One XML element per line, its children as columns; the first `limit` elements."""
     fields = fields or NEWS_FIELDS
-    lines = spark.read.text(path).where(F.col("value").contains(f"<{fields[0]}>"))
-    return lines.select(*line_xml_fields(F.col("value"), fields))
+    lines = numbered_lines(spark, path).where(F.col("value").contains(f"<{fields[0]}>"))
+    return take(lines, limit).select(*line_xml_fields(F.col("value"), fields))
 
 
 def decode_charset(df: DataFrame, col: str, charset: str) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.functions.text import decode_entities
 
 
+def first(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first `limit` rows in an order; all without a limit."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
 def post_body(c: Column) -> Column:
     """Text after the first blank line, up to the signature."""
     body = F.try_element_at(F.split(c, "\n\n", 2), F.lit(2))
@@ -26,13 +33,13 @@ def parse_posts(df: DataFrame, text: str, fields: list[str]) -> DataFrame:
     return df.withColumns(cols).drop(text)
 
 
-def read_posts(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """(id, group, fields...) of posts stored as folder/group/id."""
+def read_posts(spark: SparkSession, path: str, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(id, group, fields...) of posts stored as folder/group/id; the first `limit` by group and id."""
     files = spark.read.text(f"{path}/*/*", wholetext=True).select(
         F.translate(F.make_valid_utf8("value"), "�", "").alias("value"),
         F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("group"),
         F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).cast("int").alias("id"))
-    return parse_posts(files, "value", fields or ["body", "subject"])
+    return parse_posts(first(files, limit, "group", "id"), "value", fields or ["body", "subject"])
 
 
 # List-valued elements and attributes of a news-wire document.
@@ -63,9 +70,9 @@ def parse_sgml(df: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame
     return docs.where("body IS NOT NULL"), docs.where("body IS NULL").select("id")
 
 
-def read_sgml_news(spark: SparkSession, path: str) -> DataFrame:
-    """News-wire documents of SGML files; records end at the closing tag, so files split."""
-    return parse_sgml(spark.read.option("lineSep", "</REUTERS>").text(path))[0]
+def read_sgml_news(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """News-wire documents of SGML files, the first `limit` by id; records end at the closing tag, so files split."""
+    return first(parse_sgml(spark.read.option("lineSep", "</REUTERS>").text(path))[0], limit, "id")
 
 
 NEWSITEM = ("_itemid string, _date string, title string, headline string, byline string, text struct<p: array<string>>, "
@@ -81,11 +88,11 @@ def code_classes(codes: str) -> Column:
         k, F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])))
 
 
-def read_xml_news(spark: SparkSession, path: str) -> DataFrame:
-    """(id, date, title, headline, byline, text, codes) of news items below a folder."""
+def read_xml_news(spark: SparkSession, path: str, limit: int | None = None, pattern: str = "*.xml") -> DataFrame:
+    """(id, date, title, headline, byline, text, codes) of news items below a folder, the first `limit` by id."""
     items = (spark.read.format("xml").option("rowTag", "newsitem").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.xml").schema(NEWSITEM).load(path))
-    return items.select(F.col("_itemid").alias("id"), F.col("_date").alias("date"), "title", "headline", "byline",
+             .option("pathGlobFilter", pattern).schema(NEWSITEM).load(path))
+    return first(items, limit, "_itemid").select(F.col("_itemid").alias("id"), F.col("_date").alias("date"), "title", "headline", "byline",
                         F.col("text.p").alias("text"), code_classes("metadata.codes").alias("codes"))
 
 
@@ -141,8 +148,13 @@ def parse_author_documents(df: DataFrame, text: str, author_id: str) -> DataFram
     return last.select("author_id", "document_id", "_r.lang", "_r.type", "_r.declared", "_r.url", "_r.text")
 
 
-# The sub-corpora of the author documents.
-AUTHOR_SUBCORPORA = {name: f"pan14-author-profiling-training-corpus-english-{name}-2014-04-16" for name in ("blogs", "reviews", "socialmedia", "twitter")}
+# Folders of the sub-corpora of author documents.
+AUTHOR_SUBCORPORA = {
+    "blogs": "pan14-author-profiling-training-corpus-english-blogs-2014-04-16",
+    "reviews": "pan14-author-profiling-training-corpus-english-reviews-2014-04-16",
+    "socialmedia": "pan14-author-profiling-training-corpus-english-socialmedia-2014-04-16",
+    "twitter": "pan14-author-profiling-training-corpus-english-twitter-2014-04-16",
+}
 
 
 def read_author_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -151,6 +163,16 @@ def read_author_documents(spark: SparkSession, path: str) -> DataFrame:
     return parse_author_documents(files, "value", "_id")
 
 
+def read_author_subcorpora(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """Documents of the named sub-corpora below `path` (all by default), each with its truth: (corpus, author, ..., gender, age)."""
+    parts = []
+    for name in names or AUTHOR_SUBCORPORA:
+        folder = f"{path}/{AUTHOR_SUBCORPORA[name]}"
+        rows = read_author_documents(spark, folder).join(read_truth(spark, f"{folder}/truth.txt"), "author_id", "left")
+        parts.append(rows.select(F.lit(name).alias("corpus"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def parse_truth(df: DataFrame) -> DataFrame:
     parts = F.split(F.trim("value"), ":::")
     return df.where(F.size(parts) == 3).select(parts[0].alias("author_id"), parts[1].alias("gender"), parts[2].alias("age"))

@@ -52,8 +52,10 @@ def read_json_tree(spark: SparkSession, path: str, schema: str, limit: int | Non
     return sample_dirs(good, "path", limit, shuffle_seed) if shuffle_seed is not None else good.orderBy("path").limit(limit)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """One object per line; the first `limit` by the field `order`."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if limit is None else rows.orderBy(order or rows.columns[0]).limit(limit)
 
 
 # Fields of the review dumps.
@@ -63,8 +65,10 @@ STAR_SCHEMA = ("review_id string, user_id string, business_id string, stars int,
                "votes struct<useful: bigint, cool: bigint, funny: bigint>")
 
 
-def read_reviews_with_source(spark: SparkSession, path: str, schema: str = REVIEW_SCHEMA) -> DataFrame:
-    """JSON-lines reviews with the name of the file they come from."""
+def read_reviews_with_source(spark: SparkSession, path: str, schema: str = REVIEW_SCHEMA, limit: int | None = None) -> DataFrame:
+    """JSON-lines reviews with the name of the file they come from; the first `limit` by product and reviewer."""
+    if limit is not None:
+        return read_reviews_with_source(spark, path, schema).orderBy("asin", "reviewerID").limit(limit)
     return spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("sourcefile"))
 
 
@@ -99,13 +103,15 @@ ONTOLOGY_CLASSES = ["SportsTeam", "SocietalEvent", "MeanOfTransportation", "Plan
                     "WrittenWork", "NaturalPlace", "Building", "Company", "Infrastructure", "Film", "SoccerPlayer", "Artist"]
 
 
-def read_class_csvs(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
-    """Union of one CSV (title, abstract) per class, cleaned per class."""
+def read_class_csvs(spark: SparkSession, path: str, classes: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Union of one CSV (title, abstract) per class, the first `limit` rows of each, cleaned per class."""
     parts = [
         spark.read.schema("title string, abstract string").csv(f"{path}/{name.lower()}.csv", header=True, multiLine=True, escape='"')
         .withColumn("category", F.lit(name)).withColumn("_row", F.monotonically_increasing_id())
         for name in classes or ONTOLOGY_CLASSES
     ]
+    if limit is not None:
+        parts = [part.orderBy("_row").limit(limit) for part in parts]
     return class_rows(reduce(DataFrame.unionByName, parts))
 
 

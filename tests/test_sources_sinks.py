@@ -196,3 +196,27 @@ def test_other_sinks(spark, tmp_path):
     wr.write_quoted_csv(df.select("author_id", F.array("lang", "conv_id").alias("t"), "content"), str(tmp_path / "q"))
     raw = "".join(p.read_text() for p in (tmp_path / "q").glob("*.csv"))
     assert '"a1","en|c1","say ""x"", y"' in raw and '"author_id","t","content"' in raw
+
+
+def test_output_files_never_exceed_the_limit(spark):
+    sizes = [(i, 7 if i % 10 else 90 if i % 20 else 300) for i in range(400)]
+    df = spark.createDataFrame(sizes, "id int, size long")
+    files = {}
+    for r in wr.assign_output_files(df, 100, [F.col("id")]).collect():
+        files.setdefault(r["file_no"], []).append((r["id"], r["size"]))
+    assert all(sum(s for _, s in rows) <= 100 or len(rows) == 1 for rows in files.values())
+    assert [i for n in sorted(files) for i, _ in sorted(files[n])] == list(range(400))
+
+
+def test_reader_limits(spark, tmp_path):
+    spark.range(20).selectExpr("to_json(struct(id)) AS value").write.text(str(tmp_path / "j"))
+    assert [r["id"] for r in rc.read_json_lines(spark, str(tmp_path / "j"), "id bigint", limit=3).collect()] == [0, 1, 2]
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from gramloom.session import clear_scratch, scratch_path
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark)
+    assert not wr.path_exists(spark, path)
