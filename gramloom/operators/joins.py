@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -110,33 +111,48 @@ def stack_features(blocks: list[tuple[DataFrame, int | Column]], key: str = "doc
     return reduce(DataFrame.unionByName, shifted)
 
 
-def template_closure(uses: DataFrame, redirects: DataFrame, max_depth: int = 30) -> DataFrame:
+def template_closure(uses: DataFrame, redirects: DataFrame, max_depth: int = 30, seeds: DataFrame | None = None) -> DataFrame:
     """All templates that are reached from a template: (src, dst, depth) with the least depth.
 
-    `uses` holds (src, dst) edges between templates, `redirects` (name, target). Redirects are
-    followed first, then edges are joined until no new pair appears.
+    `uses` holds (src, dst) edges between templates, `redirects` (name, target). Redirects are followed first, then
+    edges are joined until no new pair appears. With `seeds` (template) only those templates are expanded. A warning
+    tells when templates nest deeper than `max_depth`.
     """
     direct = redirects.select(F.col("name").alias("dst"), "target")
-    edges = checkpointed(uses.join(direct, "dst", "left").select("src", F.coalesce("target", "dst").alias("dst")).distinct())
-    seen = edges.withColumn("depth", F.lit(1))
+    edges = settled(uses.join(direct, "dst", "left").select("src", F.coalesce("target", "dst").alias("dst")).distinct())
+    start = edges if seeds is None else edges.join(seeds.select(F.col("template").alias("src")).distinct(), "src", "left_semi")
+    seen = start.withColumn("depth", F.lit(1))
     frontier = seen
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    step = settled(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")))
+    small = is_small(step)
+
+    def one_step(pairs: DataFrame) -> DataFrame:
+        # base templates that most others reach are hot on this side; beyond a broadcast the join spreads them
+        joined = pairs.join(F.broadcast(step), "dst") if small else join_dictionary(pairs, step, "dst", limit=0)
+        return joined.select("src", F.col("next").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
+
     for depth in range(2, max_depth + 1):
-        reached = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = checkpointed(reached.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = checkpointed(one_step(frontier.select("src", "dst")).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
+    if not one_step(frontier.select("src", "dst")).isEmpty():
+        warnings.warn(f"templates nest deeper than {max_depth}; the closure is cut there", stacklevel=2)
     return seen
 
 
+def resolved_templates(page_uses: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(page_id, template) with redirects followed."""
+    direct = redirects.select(F.col("name").alias("template"), "target")
+    return page_uses.join(direct, "template", "left").select("page_id", F.coalesce("target", "template").alias("template"))
+
+
 def page_templates(page_uses: DataFrame, closure: DataFrame, redirects: DataFrame) -> DataFrame:
     """Distinct templates that each page expands to, directly or through other templates.
 
     A template that a third of all pages use is hot on the page side; the join spreads it.
     """
-    direct = redirects.select(F.col("name").alias("template"), "target")
-    resolved = page_uses.join(direct, "template", "left").select("page_id", F.coalesce("target", "template").alias("template"))
+    resolved = resolved_templates(page_uses, redirects)
     reached = closure.select(F.col("src").alias("template"), "dst")
     inner = join_dictionary(resolved.distinct(), reached, "template").select("page_id", F.col("dst").alias("template"))
     return resolved.unionByName(inner).distinct()

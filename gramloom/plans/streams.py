@@ -50,7 +50,7 @@ FROM events GROUP BY 1""")
 def str_04(spark, sf):
     path = scratch_path(spark, "windows")
     tokens = F.regexp_extract_all(F.concat_ws(" ", "event_type", "props"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    stream = jobs.throughput(_stream(spark, sf, "events", "event_id", "ts", "event_type", "props"), "ts", tokens)
+    stream = jobs.throughput(_stream(spark, sf, "events", "event_id", "ts", "event_type", "props"), "ts", tokens, watermark=None)
     jobs.upsert_windows(stream, path, scratch_path(spark, "windows-state"))
     return jobs.latest_windows(spark, path)
 

@@ -9,6 +9,7 @@ from gramloom.functions.text import plain_alphabet
 from gramloom.functions.tokens import analyze, char_grams_interleaved, wiki_tokens
 from gramloom.operators.filters import starts_alpha
 from gramloom.session import scratch_path
+from gramloom.sinks.writers import path_exists
 
 
 def clean_lines(df: DataFrame, mode: str, text: str = "text") -> DataFrame:
@@ -27,10 +28,15 @@ def article_lines(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("line", F.regexp_replace(text, r"[\r\n]+", " ")).drop(text)
 
 
-def throughput(df: DataFrame, ts: str, tokens: Column, every: str = "10 seconds", watermark: str = "1 minute") -> DataFrame:
-    """Documents and tokens per time window; events later than the watermark are dropped."""
+def throughput(df: DataFrame, ts: str, tokens: Column, every: str = "10 seconds", watermark: str | None = "1 minute") -> DataFrame:
+    """Documents and tokens per time window.
+
+    Events later than the watermark are dropped, which bounds the state of a live stream. A backfill, whose files come
+    in any order, is run without one: every event counts and a window stays in the state until the run ends.
+    """
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp"))
     return (
-        df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+        (timed if watermark is None else timed.withWatermark(ts, watermark))
         .groupBy(F.window(ts, every))
         .agg(F.count("*").alias("n"), F.sum(F.size(tokens)).cast("bigint").alias("tokens"))
         .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "tokens")
@@ -45,19 +51,55 @@ def append_to(stream: DataFrame, path: str, state: str) -> None:
 def count_tokens(stream: DataFrame, path: str, state: str, text: str = "text") -> None:
     """Adds each micro-batch's token counts as its own folder; a repeated batch replaces its folder.
 
-    No token is kept in streaming state, so memory does not grow with the vocabulary.
+    No token is kept in streaming state, so memory does not grow with the vocabulary. `compact_counts` keeps the
+    number of folders small.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         counts = batch.select(F.explode(analyze(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        counts.write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def _numbered(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete `name=number` folders below a path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.partition("=")[2]) for n in names if path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def _counts(spark: SparkSession, path: str, batches: list[int]) -> tuple[DataFrame | None, int]:
+    """Counts of the latest base and of the batches after it, and the number of the base (-1: none)."""
+    base = max(_numbered(spark, f"{path}/base"), default=-1)
+    folders = [f"{path}/base/upto={base}"] * (base >= 0) + [f"{path}/batches/batch={b}" for b in batches if b > base]
+    return (spark.read.schema("token string, n bigint").parquet(*folders) if folders else None), base
+
+
+def compact_counts(spark: SparkSession, path: str) -> int:
+    """Sums all batches but the last, which may still be repeated, into one base folder; returns the batches removed.
+
+    A base counts from the moment it is complete, and batches up to it no longer do, so a run that breaks off between
+    writing and removing leaves the same counts.
+    """
+    batches = _numbered(spark, f"{path}/batches")
+    counts, base = _counts(spark, path, batches[:-1])
+    done = [b for b in batches[:-1]]
+    if counts is None or not [b for b in done if b > base]:
+        return 0
+    counts.groupBy("token").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/base/upto={done[-1]}")
+    old = [f"{path}/batches/batch={b}" for b in done] + [f"{path}/base/upto={base}"] * (base >= 0)
+    for folder in map(spark._jvm.org.apache.hadoop.fs.Path, old):
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(done)
+
+
 def counted_vocabulary(spark: SparkSession, path: str, min_count: int = 1) -> DataFrame:
-    """Vocabulary so far: sum of the batch counts."""
-    return spark.read.parquet(path).groupBy("token").agg(F.sum("n").alias("tf")).where(F.col("tf") >= min_count)
+    """Vocabulary so far: sum of the base and the batch counts after it."""
+    counts, _ = _counts(spark, path, _numbered(spark, f"{path}/batches"))
+    counts = counts if counts is not None else spark.createDataFrame([], "token string, n bigint")
+    return counts.groupBy("token").agg(F.sum("n").alias("tf")).where(F.col("tf") >= min_count)
 
 
 def upsert_windows(stream: DataFrame, path: str, state: str) -> None:

@@ -290,3 +290,18 @@ def test_experiment_scores(spark):
            "fil8-5-1000": spark.createDataFrame([("ball", [1.0, 0.0]), ("law", [0.0, 1.0])], "token string, vec array<double>")}
     got = ex.run_experiments(df, ["base_mixed", "base_svm_c5", "bcluster_c4_wiki8_1024", "sg_word_wiki8_5_1000"], res, folds=3).collect()
     assert len(got) == 4 and all(r["mean"] == 1.0 and r["std"] == 0.0 and len(r["scores"]) == 3 for r in got)
+
+
+def test_counts_survive_compaction(spark, tmp_path):
+    from gramloom.streaming import jobs
+
+    path = str(tmp_path / "counts")
+    for i, rows in enumerate([[("a", 1), ("b", 2)], [("a", 3)], [("c", 5)]]):
+        spark.createDataFrame(rows, "token string, n bigint").write.parquet(f"{path}/batches/batch={i}")
+    want = {("a", 4), ("b", 2), ("c", 5)}
+    for removed in (2, 0):
+        assert jobs.compact_counts(spark, path) == removed
+        assert {tuple(r) for r in jobs.counted_vocabulary(spark, path).collect()} == want
+    spark.createDataFrame([("a", 1)], "token string, n bigint").write.parquet(f"{path}/batches/batch=3")
+    assert jobs.compact_counts(spark, path) == 1
+    assert {tuple(r) for r in jobs.counted_vocabulary(spark, path).collect()} == {("a", 5), ("b", 2), ("c", 5)}
