@@ -50,3 +50,11 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, tmp_path):
         assert got.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == COLUMNS
+
+
+def test_repeated_rows_and_missing_ids(spark, tmp_path):
+    prose = "the water of the river and the stone in the house and the light of the winter on the paper"
+    write_tables(spark, str(tmp_path), [(7, prose), (7, prose), (None, prose + " again"), (None, prose + " AGAIN"), (8, prose.upper() + " other")], [(1, "x")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.drop_exact(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, len(r.text)) for r in got) == [(0, len(prose) + 6), (7, len(prose)), (8, len(prose) + 6)]
