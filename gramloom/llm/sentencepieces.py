@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gramloom.llm.tables import pieces, table
 
 SPACE = "▁"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 LONG_WORD = 64
 # fixed values: field numbers and type codes of the public model format
 _PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -305,15 +305,17 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
 def _digest(batches):
     """ids as little-endian 32-bit integers and the decoded text, both by SHA-256."""
     for batch in batches:
-        ids = [hashlib.sha256(np.asarray(x.values, dtype="<u4").tobytes()).hexdigest() for x in batch.column(1)]
-        texts = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]
-        n = pc.list_value_length(batch.column(1)).cast(pa.int64())
+        lists = batch.column(batch.schema.get_field_index("ids"))
+        ids = [hashlib.sha256(np.asarray(x.values, dtype="<u4").tobytes()).hexdigest() for x in lists]
+        texts = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(batch.schema.get_field_index("decoded")).to_pylist()]
+        n = pc.list_value_length(lists).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op4_sentencepiece(spark, sf_dir):
+    """Encoding, decoding and digests as one chain inside each task: ids and decoded texts never go back to the JVM."""
     path = model_file()
-    encoded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = decode_pieces(encoded.select("doc_id", "ids"), path)
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(_digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    encode, decode = _encoded(path), _decoded(path, ["doc_id", "ids", "begins", "ends"], "ids")
+    docs = table(spark, sf_dir, "documents").select("text", "doc_id")
+    return docs.mapInArrow(lambda batches: _digest(decode(encode(batches))), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
