@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramloom.llm.licences import NOTICES, SPELLINGS, TEXTS
-from gramloom.llm.tables import bit_filter, in_filter, kept, table
+from gramloom.llm.tables import bit_filter, in_filter, kept, pieces, table
 
 FILTER_BITS = 1 << 20
 _GAPS = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
@@ -42,7 +42,7 @@ def _doc_rows(bitmap: np.ndarray):
     nothing = hashlib.sha256(b"").digest()
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             whole, offsets, lines = [], [0], []
             for text in pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist():
                 whole.append(_digest(text).hex())
