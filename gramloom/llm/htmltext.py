@@ -19,7 +19,7 @@ from gramloom.llm.tables import pieces, table
 
 # fixed values: element classes of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("area base datalist head link meta noembed noframes param rp script source style template title track iframe object audio video canvas svg math".split())
+HIDDEN = set("area base datalist head link meta noembed noframes param rp script source style template title track iframe object audio video canvas svg annotation annotation-xml".split())
 MARGIN = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre figure fieldset hr listing xmp".split())
 LINE = set("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main nav option "
            "optgroup search section summary tbody td tfoot th thead tr".split())
@@ -35,8 +35,11 @@ IMPLIED_ENDS = {
 SCOPE = set("td th caption table button object marquee applet".split())
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# a quote opens a string only directly after `=`; elsewhere it is a letter of a name or value, and the tag ends at the first `>`
+NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+EQUALS, BARE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+", r"""[^ \t\n\r\f>"'][^ \t\n\r\f>]*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\r\f/]++|{NAME}(?:{EQUALS}(?:"[^"]*+"|'[^']*+'|{BARE}|(?=>)))?+)*+)>|<[!?/][^>]*+>""", re.DOTALL)
+ATTRIBUTE = re.compile(rf"""({NAME})(?:{EQUALS}(?:"([^"]*+)"|'([^']*+)'|({BARE})))?+""")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -248,8 +251,9 @@ class Page:
             owner = next((x for x in reversed(self.stack) if x.tag == "table"), None)
             if owner is not None and not e.hidden:
                 owner.rows.append([c for row in e.rows for c in row])
-            elif not e.hidden:
+            elif not e.hidden:  # a row without a table stands in the text around it
                 self.block().end_line()
+                self.block().add(laid_out([[c for row in e.rows for c in row]]))
             return
         if e.hidden:
             return
@@ -259,6 +263,7 @@ class Page:
             if row is not None and row.tag == "tr":
                 row.rows.append([(*e.span, lines)])
             else:
+                self.block().end_line()
                 self.block().add(lines)
         elif e.tag == "table":
             self.block().end_line(margin=True)

@@ -435,6 +435,21 @@ def test_visible_text(source, want):
     assert htmltext.visible_text(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<p title=don't>one</p><p>it's two</p>", "one\n\nit's two"),
+    ("<a href=\"x\"\">link</a> he said \"hi\" <b>now</b>", "link he said \"hi\" now"),
+    ("<p it's>one</p><p 'x>two</p> don't", "one\n\ntwo\n\ndon't"),
+    ("<p title=x'hidden>a</p><p title = 'b>c' hidden>no</p><p title= \"d>e\">f</p><p title=>g</p>", "a\n\nf\n\ng"),
+    ("<p title=\"a\"class='b>'>one</p><br/><img alt=/>two", "one\n\ntwo"),
+    ("<tr><td>x</td></tr>", "x"),
+    ("before<tr><td>a<th>b</tr><tr><td>c</td></tr>after", "before\na  b\nc\nafter"),
+    ("<div hidden><tr><td>no</td></tr></div>before<td>cell</td>", "before\ncell"),
+    ("if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then", "if x=2 then"),
+])
+def test_no_visible_text_is_lost(source, want):
+    assert htmltext.visible_text(source) == want
+
+
 def test_pages_deep_long_and_odd(spark):
     assert htmltext.visible_text("<div>" * 20_000 + "x") == "x"
     assert htmltext.visible_text("<b>" * 3000 + "x" + "</i>" * 3000) == "x"
