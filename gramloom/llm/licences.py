@@ -1,6 +1,6 @@
 """Known licence texts and one-line notices by SPDX id, and spellings that count as equal.
 
-The texts are the public licence templates without title and copyright line; the notices are customary wordings.
+The texts are the public licence templates without title and copyright line, the titles those that usually head them; the notices are customary wordings.
 """
 
 SPELLINGS = {
@@ -114,6 +114,20 @@ software in a product, an acknowledgment in the product documentation would be a
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "The BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "Zero-Clause BSD (0BSD)", "BSD Zero Clause License (0BSD)",
+             "0BSD License", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License", "2-Clause BSD License",
+                     "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License", "3-Clause BSD License",
+                     "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License", "BSD-3-Clause"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "The ISC License (ISC)", "ISC"],
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "Expat License", "MIT License (Expat)", "MIT"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT No Attribution License (MIT-0)", "MIT No Attribution (MIT-0)", "MIT-0 License", "MIT-0"],
+    "Unlicense": ["The Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib License (Zlib)", "zlib/libpng License", "The zlib/libpng License", "zlib/libpng License (Zlib)", "zlib"],
+}
+
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\")."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License."],

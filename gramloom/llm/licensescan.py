@@ -11,18 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm.licences import NOTICES, SPELLINGS, TEXTS
+from gramloom.llm.licences import NOTICES, SPELLINGS, TEXTS, TITLES
 from gramloom.llm.tables import bit_filter, in_filter, kept, pieces, table
 
 FILTER_BITS = 1 << 20
 _GAPS = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
-# a line that opens, after comment marks, with a copyright statement
-_STATEMENT = re.compile(rb"(^|\n)[ \t*#/;-]*(copyright|\(c\)|\xc2\xa9|all rights reserved)[^\n]*")
+# words that follow `copyright` in the body of a licence, where another word would be the holder
+_BODY = (rb"(?:notice|holder|owner|law|act|interest|licen[cs]e|statement|claim|infringement|protection|permission|restriction|term|right)s?|ownership|treaty|treaties|"
+         rb"status|information|material|disclaimer|and|or|in|is|are|was|may|shall|to|on|for|as|of|with|under|that|which|if|not|from")
+# a line that opens, after comment marks, with a copyright statement: the word with (c), a sign, a year or a holder behind it
+_STATEMENT = re.compile(rb"(^|\n)[ \t*#/;-]*(copyrights?[ \t]*(\(c\)|\xc2\xa9)|copyrights?(:[ \t]*|[ \t]+)(?!(" + _BODY + rb")(?![a-z0-9]))[^\s,.;:)\"']|"
+                        rb"\(c\)|\xc2\xa9|all rights reserved)[^\n]*")
 _SPELLINGS = {a.encode(): b.encode() for a, b in SPELLINGS.items()}
 
 
 def canonical(text: bytes) -> bytes:
-    """Lower case (A-Z), no copyright lines, one space for punctuation and white space, one spelling for each word."""
+    """Lower case (A-Z), no copyright statements, one space for punctuation and white space, one spelling for each word."""
     low = _STATEMENT.sub(b"\n", text.lower())
     return b" ".join([_SPELLINGS.get(w, w) for w in low.translate(_GAPS).split()])
 
@@ -59,8 +63,9 @@ def _doc_rows(bitmap: np.ndarray):
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """(license_id, text) of the licence texts and notices that come with the library."""
-    rows = [*TEXTS.items(), *((name, notice) for name, notices in NOTICES.items() for notice in notices)]
+    """(license_id, text) of the licence texts, bare and under each of their titles, and of the notices that come with the library."""
+    titled = ((name, f"{title}\n\n{TEXTS[name]}") for name, titles in TITLES.items() for title in titles)
+    rows = [*TEXTS.items(), *titled, *((name, notice) for name, notices in NOTICES.items() for notice in notices)]
     return spark.createDataFrame(rows, "license_id string, text string")
 
 

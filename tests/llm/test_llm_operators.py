@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -406,6 +407,30 @@ def test_license_scan(spark, odd):
     assert licensescan.scan_licenses(frame(spark, []), known).count() == 0
 
 
+def test_canonical_form_does_not_depend_on_wrapping():
+    from gramloom.llm.licences import TEXTS
+
+    for text in TEXTS.values():
+        forms = {licensescan.canonical("\n".join(textwrap.wrap(text, width, break_long_words=False)).encode()) for width in range(12, 131)}
+        assert forms == {licensescan.canonical(text.encode())}
+    body = [b"copyright notice a", b"COPYRIGHT HOLDERS b", b"# copyright owner c", b"copyright laws d", b"copyright", b"copyrighted e", b"copyright, f"]
+    assert licensescan.canonical(b"\n".join(body)).count(b"copyright") == len(body)
+    lines = [b"Copyright Jane Doe", b"// Copyright: 2020 x", b"Copyright \xc2\xa9 2020", b"Copyright(c) y", b"Copyright <YEAR> <HOLDER>", b"Copyright 2001, 2004-2020 z", b"\xc2\xa9 Lawson"]
+    assert licensescan.canonical(b"\n".join(lines)) == b"" and licensescan.canonical(b"Copyright Lawson") == b""
+
+
+def test_licence_files_with_titles_and_other_line_ends(spark):
+    from gramloom.llm.licences import TEXTS
+
+    isc = ("ISC License\n\nCopyright (c) 2020, Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, "
+           "provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + TEXTS["ISC"].split("\n\n")[1])
+    files = {"MIT": "The MIT License (MIT)\n\nCopyright © 2020 X\n\n" + TEXTS["MIT"], "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + TEXTS["BSD-3-Clause"],
+             "ISC": isc, "BSD-2-Clause": "\n".join(textwrap.wrap("BSD 2-Clause License\n\n" + TEXTS["BSD-2-Clause"], 40)), "Unlicense": "# The Unlicense\n" + TEXTS["Unlicense"]}
+    docs = frame(spark, [(i, text, None) for i, text in enumerate(files.values())])
+    got = licensescan.scan_licenses(docs, licensescan.known_licences(spark)).orderBy("doc_id").collect()
+    assert [r.license_ids for r in got] == [[name] for name in files]
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 
