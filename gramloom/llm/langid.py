@@ -190,6 +190,29 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", carr
     return source.mapInArrow(_predictions(shared, source.columns, len(source.columns) - 1), schema)
 
 
+def score_floors(labelled: DataFrame, filters: LanguageFilters, lang: str = "lang", text: str = "text", key: str = "doc_id",
+                 sample_docs: int = SAMPLE_DOCS, share: float = 0.01) -> DataFrame:
+    """(lang_pred, size, floor): the score that all but `share` of a language's own rows of a length reach.
+
+    `size` is `size_class` of the text, null for the floor of a language over all lengths. Of each language about
+    `sample_docs` labelled rows are scored, those with the highest hashes of `key`, far from the lowest that filters
+    are learned from; rows identified as another language count for nothing. Of fewer than 1 / share rows the
+    lowest score is the floor.
+    """
+    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(key).alias("h")).where("l is not null and t is not null")
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    if sizes:
+        least = F.create_map(*[F.lit(x) for i, n in sizes.items() for x in (i, int((1 << 30) * (1 - min(1.0, sample_docs / n))))])
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) >= least[F.col("l")])
+    found = identify(rows.select("l", "t", size_class("t").alias("size")), filters, "t", ["l", "size"]).where("l = lang_pred")
+    return found.rollup("lang_pred", "size").agg(F.percentile_approx("score", share).alias("floor")).where("lang_pred is not null")
+
+
+def size_class(text: str = "text") -> Column:
+    """Length of a text in characters, as the power of two below it."""
+    return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
+
+
 def is_held_out(doc_id: str = "doc_id") -> Column:
     """The fifth of the documents that no model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

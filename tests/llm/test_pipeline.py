@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from gramloom.llm.langid import fit_language_filters, identify
 from gramloom.llm.sentencepieces import load_model, model_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,3 +59,20 @@ def test_repeated_rows_and_missing_ids(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.drop_exact(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, len(r.text)) for r in got) == [(0, len(prose) + 6), (7, len(prose)), (8, len(prose) + 6)]
+
+
+def test_languages_whose_ngrams_repeat_little_stay(spark):
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    words = ["".join(rng.choices(letters, k=rng.choice([2, 3, 4]))) for _ in range(20_000)]
+    chance = [1 / (i + 20) for i in range(len(words))]
+    prose = ["".join(rng.choices(words, chance, k=60)) for _ in range(1500)]
+    english = ["the water of the river and the stone in the house " * 3 for _ in range(30)]
+    rows = [(i, t, "zh", "s", len(t)) for i, t in enumerate(prose)] + [(5000 + i, t, "en", "s", len(t)) for i, t in enumerate(english)] + [(9000, "12 !!", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    scores = identify(docs.where("lang = 'zh'"), fit_language_filters(docs))
+    assert scores.where("score < 0.2").count() > 750  # a constant of 0.2 loses most of them
+    got = corpus_pipeline.drop_unknown_language(spark, docs, "")
+    assert got.columns == COLUMNS
+    left = {r.doc_id for r in got.collect()}
+    assert len(left & set(range(1500))) >= 1500 * 0.97 and left & set(range(5000, 5030)) == set(range(5000, 5030)) and 9000 not in left
