@@ -73,19 +73,21 @@ def _doc_rows(span: int, short: list[int], bitmap: np.ndarray):
 
 
 def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-                 span: int = SPAN, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 span: int = SPAN, filter_bits: int = FILTER_BITS, unnamed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every span of `span` words that documents share with items; an item of fewer words is one span.
 
     Returns three tables: documents (row, doc_id, n_words), passages (row, start, end: words, end exclusive, of
     maximal runs covered by shared spans) and matches (row, item_id). `row` numbers the rows of `docs`, so that
-    repeated ids stay apart. Null and empty texts have no words; an empty table of items gives no passages.
+    repeated ids stay apart. Null and empty texts have no words; an empty table of items gives no passages. Items with
+    a null id are left out unless `unnamed` is set; then they count as one item with a null item_id.
 
     Documents are read once. A bitmap of fixed size keeps windows whose fingerprint no item has from being
     shuffled; the joins decide. A passage common to many documents meets one row for each distinct item window.
     """
     if span < K:
         raise ValueError(f"span must be at least {K} words")
-    items = items.select(F.col(item_id).alias("item"), F.col(text).alias("t")).where("item is not null")
+    items = items.select(F.col(item_id).alias("item"), F.col(text).alias("t"))
+    items = items if unnamed else items.where("item is not null")
     item_type = items.schema["item"].dataType.simpleString()
     grams = kept(items.mapInArrow(_item_rows(span), f"item {item_type}, n int, fp bigint, span_hash bigint").distinct(), "decon-items")
     short = sorted(r[0] for r in grams.where(F.col("n") < span).select("n").distinct().collect())
@@ -111,11 +113,15 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-                  span: int = SPAN) -> DataFrame:
-    """One row per document: words, words inside shared spans, items found and their ids, contaminated or not."""
-    rows, passages, matches = shared_spans(docs, items, doc_id, item_id, text, span)
+                  span: int = SPAN, unnamed: bool = False) -> DataFrame:
+    """One row per document: words, words inside shared spans, items found and their ids, contaminated or not.
+
+    Items with a null id are left out unless `unnamed` is set; then they stand in `items` as one null at the end.
+    """
+    rows, passages, matches = shared_spans(docs, items, doc_id, item_id, text, span, unnamed=unnamed)
     covered = passages.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"))
-    per_doc = matches.groupBy("row").agg(F.array_sort(F.collect_list(F.col(item_id).cast("string"))).alias("items"))
+    nameless = F.array_repeat(F.lit(None).cast("string"), F.count_if(F.col(item_id).isNull()).cast("int"))
+    per_doc = matches.groupBy("row").agg(F.concat(F.array_sort(F.collect_list(F.col(item_id).cast("string"))), nameless).alias("items"))
     joined = rows.join(covered, "row", "left").join(per_doc, "row", "left")
     return joined.select(
         doc_id, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
@@ -123,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
 
 
 def op9_decontamination(spark, sf_dir):
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         sha_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 

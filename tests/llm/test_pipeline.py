@@ -76,3 +76,33 @@ def test_languages_whose_ngrams_repeat_little_stay(spark):
     assert got.columns == COLUMNS
     left = {r.doc_id for r in got.collect()}
     assert len(left & set(range(1500))) >= 1500 * 0.97 and left & set(range(5000, 5030)) == set(range(5000, 5030)) and 9000 not in left
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_one_by_one(spark, tmp_path):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    near = [t + " more" for t in text]
+    item = " ".join(text[5].split()[10:30])
+    rows = [(None, text[0]), (4, near[0]), (None, text[1]), (None, near[1]), (7, text[2]), (7, text[3]), (3, near[2]), (9, text[4]), (9, text[5]), (None, item + " x"), (None, None)]
+    write_tables(spark, str(tmp_path), rows, [(None, item)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near(spark, docs, str(tmp_path)).collect()]
+    ones = [g for g in got if g in [(None, text[1]), (None, near[1])]]
+    assert len(ones) == 1 and set(got) - set(ones) == {(4, near[0]), (7, text[3]), (3, near[2]), (9, text[4]), (9, text[5]), (None, item + " x"), (None, None)}
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, (r for r in rows if item not in (r[1] or ""))))
+
+
+def test_decontamination_query_counts_items_without_id_as_its_twin_does(spark, tmp_path):
+    import duckdb
+
+    from gramloom.llm import decontamination
+
+    a, b = (" ".join(f"{c}{i}" for i in range(14)) for c in "ab")
+    write_tables(spark, str(tmp_path), [(1, f"x {a} y"), (2, f"{a} {b}"), (3, "nothing of it")], [(None, a), (None, a + " z"), (5, b), (6, None)])
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontamination.op9_decontamination(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({decontamination.SQL})").fetchall())
+    assert [r.n_hit for r in got.orderBy("doc_id").collect()] == [14, 28, 0]
