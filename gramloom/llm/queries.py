@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gramloom.llm import (
-    chatformat, decontamination, exactdedup, htmltext, langid, licensescan, neardup, secretscan, sentencepieces, sharding,
+    chatformat, decontamination, exactdedup, htmltext, langid, licensescan, neardup, qualityrules, secretscan, sentencepieces, sharding,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_license_scan": licensescan.op10_license_scan,
+    "op12_quality_rules": qualityrules.op12_quality_rules,
 }
 SQL: dict[str, str] = {
     "op1_jaccard_join": neardup.SQL,
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op8_exact_dedup": exactdedup.SQL,
     "op9_decontamination": decontamination.SQL,
     "op10_license_scan": licensescan.SQL,
+    "op12_quality_rules": qualityrules.SQL,
 }
