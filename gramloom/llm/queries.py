@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gramloom.llm import (
-    chatformat, decontamination, exactdedup, htmltext, langid, licensescan, neardup, qualityrules, secretscan, sentencepieces, sharding,
+    chatformat, decontamination, exactdedup, htmltext, langid, licensescan, neardup, qualityrules, secretscan, sentencepieces, sharding, tokenalign,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_license_scan": licensescan.op10_license_scan,
     "op12_quality_rules": qualityrules.op12_quality_rules,
+    "op13_token_alignment": tokenalign.op13_token_alignment,
 }
 SQL: dict[str, str] = {
     "op1_jaccard_join": neardup.SQL,
