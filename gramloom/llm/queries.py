@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gramloom.llm import (
-    chatformat, decontamination, exactdedup, htmltext, langid, licensescan, neardup, qualityrules, secretscan, sentencepieces, sharding, tokenalign,
+    chatformat, collocations, decontamination, exactdedup, htmltext, langid, licensescan, neardup, qualityrules, secretscan, sentencepieces, sharding, tokenalign,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_license_scan": licensescan.op10_license_scan,
+    "op11_collocations": collocations.op11_collocations,
     "op12_quality_rules": qualityrules.op12_quality_rules,
     "op13_token_alignment": tokenalign.op13_token_alignment,
 }
@@ -30,5 +31,6 @@ SQL: dict[str, str] = {
     "op8_exact_dedup": exactdedup.SQL,
     "op9_decontamination": decontamination.SQL,
     "op10_license_scan": licensescan.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_quality_rules": qualityrules.SQL,
 }
