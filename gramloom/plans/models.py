@@ -12,6 +12,7 @@ from gramloom.operators import models as m
 from gramloom.operators import features as ft
 from gramloom.operators import joins as jn
 from gramloom.operators import sampling, vocab
+from gramloom.operators import topics as tp
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
 from gramloom.session import checkpointed, scratch_path, settled
@@ -36,26 +37,45 @@ def _pruned(spark, df, keep=None):
 TERMS = f"c AS ({k.term_counts(k.words('text'))})"
 
 
+def _weights(spark, df, words):
+    return ft.tfidf_log2(vocab.doc_term_counts(df, "doc_id", F.col("t")), words, df.agg(F.count("*")).scalar())
+
+
 @query("ml_05_latent_topics", """
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS dot FROM generate_series(0, 9) a(i), generate_series(0, 9) b(j)""")
 def ml_05(spark, sf):
     """Scalar products of the ten topics, which are orthogonal and of unit length."""
     df = _tokens(spark, sf)
-    topics, _ = m.fit_topics(df, "t", _pruned(spark, df), k=10, idf="idf")
+    topics, _ = tp.fit_topics(_weights(spark, df, _pruned(spark, df)), k=10)
     pairs = topics.select(F.posexplode("vec").alias("i", "x"), "vec").select("i", "x", F.posexplode("vec").alias("j", "y"))
     return pairs.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 4) + 0.0).alias("dot"))
 
 
 @query("ml_05_topic_weights")
 def ml_05_weights(spark, sf):
+    """Every document folded into ten topics."""
     df = _tokens(spark, sf)
-    words = _pruned(spark, df)
-    topics, _ = m.fit_topics(df, "t", words, k=10, idf="idf")
-    tf = vocab.doc_term_counts(df, "doc_id", F.col("t"))
-    weights = ft.tfidf_log2(tf, words, df.agg(F.count("*")).scalar())
+    weights = settled(_weights(spark, df, _pruned(spark, df)))
+    topics, _ = tp.fit_topics(weights, k=10)
     return ft.project_topics(weights, topics).select("doc_id", F.posexplode("vec").alias("topic", "value"))
 
 
+@query("ml_05_topic_errors")
+def ml_05_errors(spark, sf):
+    """Reconstruction error of 10 and 100 topics over words and character grams, with and without idf, and the energy of all folded documents, which is that captured."""
+    rows = []
+    for unit, tokens in (("word", analyze("text")), ("c4", char_gram_range(plain_alphabet("text"), 4, 4))):
+        df = checkpointed(_docs(spark, sf).select("doc_id", tokens.alias("t")))
+        words = _pruned(spark, df)
+        counts = settled(vocab.doc_term_counts(df, "doc_id", F.col("t")).join(words.select("token"), "token", "left_semi"))
+        for idf, weights in ((True, settled(_weights(spark, df, words))), (False, counts.select("doc_id", "token", F.col("tf").alias("w")))):
+            topics, values = tp.fit_topics(weights, k=100)
+            folded = ft.project_topics(weights, topics).agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("folded"))
+            told = tp.reconstruction_error(weights, values, [10, 100]).withColumn("folded", folded.scalar())
+            rows.append(told.select(F.lit(unit).alias("unit"), F.lit(idf).alias("idf"), "*"))
+    return m.union_all(rows)
+
+
 @query("ml_06_word_vectors", f"WITH {TERMS} SELECT token, tf, 50 AS dim, true AS finite FROM c WHERE tf >= 5")
 def ml_06(spark, sf):
     """The words that have vectors, with their counts."""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from gramloom.functions.tokens import analyze
 from gramloom.operators import clusters as cl
-from gramloom.operators import order, sampling, vocab
+from gramloom.operators import learner, order, sampling, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
 from gramloom.plans.features import C, CL, _bags, _clusters, _top, top
@@ -170,22 +171,29 @@ def smp_07(spark, sf):
     return sampling.sample_dirs(paths, "path", 180, seed=2)
 
 
-# ---- cluster statistics over the most frequent words ----
+# ---- cluster statistics: every word is in one of K clusters, dealt out by rank ----
 
-K = 40
-CSTATE = f"""{C}, {top(K, 'w')}, a AS (SELECT token, CAST(id + 1 AS INTEGER) AS cluster FROM w),
-  t AS (SELECT {k.words('text')} AS a FROM documents),
-  pw AS (SELECT a[i] AS first, a[i + 1] AS second, count(*) AS n FROM (SELECT a, unnest(generate_series(1, len(a) - 1)) AS i FROM t) GROUP BY 1, 2),
-  uni AS (SELECT cluster AS c, sum(tf) / (SELECT sum(tf) FROM c) AS p FROM c JOIN a USING (token) GROUP BY 1),
+K = 128
+PAIRS_SQL = f"""t AS (SELECT {k.words('text')} AS a FROM documents),
+  pw AS (SELECT a[i] AS first, a[i + 1] AS second, count(*) AS n FROM (SELECT a, unnest(generate_series(1, len(a) - 1)) AS i FROM t) GROUP BY 1, 2)"""
+UNI_BI = """uni AS (SELECT cluster AS c, sum(tf) / (SELECT sum(tf) FROM c) AS p FROM c JOIN a USING (token) GROUP BY 1),
   bi AS (SELECT x.cluster AS c1, y.cluster AS c2, sum(n) / (SELECT sum(n) FROM pw) AS p FROM pw JOIN a x ON x.token = first JOIN a y ON y.token = second GROUP BY 1, 2)"""
+CSTATE = f"""{C}, a AS (SELECT token, CAST((row_number() OVER (ORDER BY tf DESC, token) - 1) % {K} + 1 AS INTEGER) AS cluster FROM c),
+  {PAIRS_SQL}, {UNI_BI}"""
 
 
-def _cluster_state(spark, sf):
+def _word_tables(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
-    words = settled(vocab.term_counts(docs, "doc_id", analyze("text")))
-    pairs = cl.adjacent_pairs(docs, "doc_id", analyze("text"))
-    assign = vocab.build_vocab(vocab.most_common(words, K)).select("token", (F.col("id") + 1).cast("int").alias("cluster"))
-    return cl.cluster_distributions(words, pairs, assign)
+    return settled(vocab.term_counts(docs, "doc_id", analyze("text"))), cl.adjacent_pairs(docs, "doc_id", analyze("text"))
+
+
+def _dealt(words):
+    return vocab.build_vocab(words).select("token", (F.col("id") % K + 1).cast("int").alias("cluster"))
+
+
+def _cluster_state(spark, sf):
+    words, pairs = _word_tables(spark, sf)
+    return cl.cluster_distributions(words, pairs, _dealt(words))
 
 
 @query("agg_12_cluster_unigrams", f"WITH {CSTATE} SELECT c, round(p, 9) AS p FROM uni")
@@ -231,11 +239,16 @@ def agg_14_best(spark, sf):
     return cl.best_merge(cl.merge_losses(uni, bi)).withColumn("loss", F.round("loss", 8))
 
 
-@query("jn_12_cluster_pairs", f"WITH {C}, {top(K)} SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id < b.id")
+@query("jn_12_cluster_pairs", f"""
+WITH {CSTATE}, o AS (SELECT c, p, row_number() OVER (ORDER BY c) - 1 AS idx FROM uni)
+SELECT CAST(x.idx AS INTEGER) AS i, CAST(y.idx AS INTEGER) AS j, x.c AS c1, y.c AS c2, round(x.p + y.p, 9) AS p FROM o x JOIN o y ON x.idx < y.idx""")
 def jn_12(spark, sf):
     from gramloom.operators.joins import cluster_pairs
-    words = vocab.term_counts(documents(spark, sf, "doc_id", "text"), "doc_id", analyze("text"))
-    return cluster_pairs(vocab.build_vocab(vocab.most_common(words, K)).select(F.col("id").alias("idx")))
+    words = settled(vocab.term_counts(documents(spark, sf, "doc_id", "text"), "doc_id", analyze("text")))
+    uni, _ = cl.cluster_distributions(words, None, _dealt(words))
+    idx = settled(uni.withColumn("idx", (F.row_number().over(Window.orderBy("c")) - 1).cast("int")))  # K rows
+    one, two = (idx.select(F.col("idx").alias(n), F.col("c").alias(c), F.col("p").alias(p)) for n, c, p in (("i", "c1", "p1"), ("j", "c2", "p2")))
+    return cluster_pairs(idx).join(one, "i").join(two, "j").select("i", "j", "c1", "c2", F.round(F.col("p1") + F.col("p2"), 9).alias("p"))
 
 
 @query("agg_15_cluster_sizes", f"""
@@ -255,8 +268,19 @@ def src_20(spark, sf):
     return read_clusters(spark, path, prefix_size=4)[0].select("cluster", "word", "freq", "n_lines")
 
 
+# the learner's first step: of the K + 1 most frequent words, the pair goes together whose merge costs least
+STEP = 24
+FIRST = f"""{C}, r AS (SELECT token, row_number() OVER (ORDER BY tf DESC, token DESC) AS rank FROM c), a AS (SELECT token, CAST(rank AS INTEGER) AS cluster FROM r WHERE rank <= {STEP + 1}),
+  {PAIRS_SQL}, {UNI_BI}"""
+
+
+@query("ml_20_first_merge", f"""
+WITH {FIRST}, {LOSS}, best AS (SELECT c1, c2 FROM losses ORDER BY loss DESC, c1, c2 LIMIT 1)
+SELECT token, CAST(CASE WHEN cluster = c2 THEN c1 ELSE cluster END AS INTEGER) AS cluster FROM a, best""")
+def ml_20_first(spark, sf):
+    return learner.cluster_words(*_word_tables(spark, sf), c=STEP, rounds=1)
+
+
 @query("ml_20_cluster_learner")
 def ml_20(spark, sf):
-    docs = documents(spark, sf, "doc_id", "text")
-    words = vocab.term_counts(docs, "doc_id", analyze("text"))
-    return cl.cluster_words(words, cl.adjacent_pairs(docs, "doc_id", analyze("text")), c=8, rounds=3)
+    return learner.cluster_words(*_word_tables(spark, sf), c=16)
