@@ -44,6 +44,11 @@ def gram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def _names(grams: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, which name it."""
+    return tuple(np.add.reduceat(mix(grams + np.uint64(k)), begins) for k in (1, 2))
+
+
 def _signatures(n: int, rows: int, bands: int):
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 1 << 62, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,7 +62,7 @@ def _signatures(n: int, rows: int, bands: int):
             if len(full):
                 every = np.concatenate(sets)
                 begins = (np.cumsum(sizes) - sizes)[full]
-                one, two = (np.add.reduceat(mix(every + np.uint64(k)), begins) for k in (1, 2))
+                one, two = _names(every, begins)
                 keys = np.zeros((bands, len(full)), dtype=np.uint64)
                 for k in range(rows * bands):
                     low = np.minimum.reduceat((every ^ shifts[k]) * factors[k], begins)
@@ -66,6 +71,9 @@ def _signatures(n: int, rows: int, bands: int):
                     part.column(0).take(pa.array(full)), pa.array(sizes[full]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(pa.array(keys.T.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64()))],
                     names=["id", "n_grams", "h1", "h2", "bands"])
+            if len(full) < len(sizes):  # rows without a word have no name
+                rest = part.column(0).take(pa.array(np.flatnonzero(sizes == 0)))
+                yield pa.RecordBatch.from_arrays([rest, *[pa.nulls(len(rest), pa.int64())] * 3, pa.nulls(len(rest), pa.list_(pa.int64()))], names=["id", "n_grams", "h1", "h2", "bands"])
 
     return run
 
@@ -84,11 +92,17 @@ def _shared_keys(bitmap: np.ndarray):
 
 
 def _sets_of(n: int, bitmap: np.ndarray):
+    """Sets of the texts whose id may be wanted, with their names."""
+
     def run(batches):
         for batch in batches:
             wanted = np.flatnonzero(in_filter(bitmap, batch.column(0).to_numpy()))
             for part in pieces([batch.take(pa.array(wanted))], 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in gram_sets(part.column(1), n)], pa.binary())], names=["node", "grams"])
+                sets = [s for s in gram_sets(part.column(1), n) if len(s)]
+                if sets:
+                    sizes = np.array([len(s) for s in sets])
+                    one, two = _names(np.concatenate(sets), np.cumsum(sizes) - sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "h2", "grams"])
 
     return run
 
@@ -163,7 +177,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     class_id is the smallest doc_id of the connected component of links, copy_id the smallest doc_id with the
     same set, n_links the number of other rows linked to this one, n_text_links that of other sets. A text of
     fewer than n words is one gram; null, empty and wordless texts, and rows with a null doc_id, are linked to
-    nothing and are their own class. Repeated rows are copies of each other.
+    nothing and are their own class. Repeated rows are copies of each other; rows of one id with different texts are
+    rows by themselves.
 
     Equal sets are collapsed first, so copies never meet in pairs. Band keys are shuffled as (key, id) and give
     stars, of which connected components are taken; only the texts in components of two and more are read again.
@@ -175,8 +190,9 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
     signed = source.where("id is not null").mapInArrow(_signatures(n, rows, bands), "id bigint, n_grams bigint, h1 bigint, h2 bigint, bands array<bigint>")
     signed = kept(signed, "jaccard-sets")
-    nodes = kept(signed.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"),
-                                                F.first("bands").alias("bands")), "jaccard-nodes")
+    # a set is a node, named by its row in this table
+    nodes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
     # stars: every member of a bucket to its smallest; buckets of one never leave the count
     buckets = nodes.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c"))
@@ -185,31 +201,32 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     stars = shared.join(buckets, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))
     near = kept(components(stars, "jaccard-candidates"), "jaccard-components")
 
-    members = nodes.select("node", "copies", "n_grams").join(near, "node")
+    members = nodes.select("node", "copies", "n_grams", "h1", "h2", "low_id").join(near, "node")
     shape = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
     members = kept(members.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("bigint")), "jaccard-members")
-    bitmap = bit_filter(members, "node", FILTER_BITS)
-    sets = source.where("id is not null").mapInArrow(_sets_of(n, bitmap), "node bigint, grams binary")
-    loaded = members.join(sets, "node").dropDuplicates(["node"])
+    bitmap = bit_filter(members, "low_id", FILTER_BITS)
+    sets = source.where("id is not null").mapInArrow(_sets_of(n, bitmap), "h1 bigint, h2 bigint, grams binary")
+    loaded = members.join(sets, ["h1", "h2"]).dropDuplicates(["node"])
     # a block meets every block of its component: pairs (i, j) with i <= j
     met = loaded.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks").cast("bigint") - 1)))
     met = met.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "grams")
     met = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     checked = kept(met.mapInArrow(_verify(threshold), "node bigint, texts bigint, rows bigint, root bigint"), "jaccard-links")
     counts = checked.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
-    classes = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-classes").withColumnRenamed("comp", "class")
+    classes = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-classes")
+    # of a class, the smallest id of its members
+    lowest = classes.join(nodes.select("node", "low_id"), "node").groupBy("comp").agg(F.min("low_id").alias("class"))
+    classes = classes.join(lowest, "comp").select("node", "class")
     linked = kept(
-        nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(classes, "node", "left")
+        nodes.select("h1", "h2", "node", "low_id", "copies").join(counts, "node", "left").join(classes, "node", "left")
         .where("copies > 1 or texts > 0")
-        .select("h1", "h2", "node", F.coalesce("class", "node").alias("class"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        .select("h1", "h2", F.coalesce("class", "low_id").alias("class_id"), F.col("low_id").alias("copy_id"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                 F.coalesce("texts", F.lit(0)).alias("n_text_links")), "jaccard-linked")
-    of_rows = signed.select("id", "h1", "h2").join(linked, ["h1", "h2"])
-    found = of_rows.groupBy(F.col("id").alias("_id")).agg(*[F.min(c).alias(c) for c in ("class", "node")], *[F.max(c).alias(c) for c in ("n_links", "n_text_links")])
-    return (
-        docs.select(F.col(doc_id)).join(found, F.col(doc_id) == F.col("_id"), "left")
-        .select(doc_id, F.coalesce("class", doc_id).alias("class_id"), F.coalesce("node", doc_id).alias("copy_id"),
-                F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("bigint").alias("n_text_links"))
-    )
+    found = signed.select("id", "h1", "h2").join(linked, ["h1", "h2"], "left")
+    none = F.lit(0).cast("bigint")
+    told = found.select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"),
+                        F.coalesce("n_links", none).cast("bigint").alias("n_links"), F.coalesce("n_text_links", none).cast("bigint").alias("n_text_links"))
+    return told.unionByName(source.where("id is null").select(F.col("id").alias(doc_id), F.col("id").alias("class_id"), F.col("id").alias("copy_id"), none.alias("n_links"), none.alias("n_text_links")))
 
 
 def op1_jaccard_join(spark, sf_dir):
