@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from gramloom.llm.tables import pieces, table
 
 # fixed values: element classes of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("area base datalist head link meta noembed noframes param rp script source style template title track iframe object audio video canvas svg annotation annotation-xml".split())
+HIDDEN = set("area base datalist head link meta noembed noframes param rp script source style template title track iframe object audio video canvas annotation annotation-xml desc defs metadata symbol clippath".split())
 MARGIN = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre figure fieldset hr listing xmp".split())
 LINE = set("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main nav option "
            "optgroup search section summary tbody td tfoot th thead tr".split())
@@ -38,12 +38,23 @@ MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 # a quote opens a string only directly after `=`; elsewhere it is a letter of a name or value, and the tag ends at the first `>`
 NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
 EQUALS, BARE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+", r"""[^ \t\n\r\f>"'][^ \t\n\r\f>]*+"""
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\r\f/]++|{NAME}(?:{EQUALS}(?:"[^"]*+"|'[^']*+'|{BARE}|(?=>)))?+)*+)>|<[!?/][^>]*+>""", re.DOTALL)
+TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\r\f/]++|{NAME}(?:{EQUALS}(?:"[^"]*+"|'[^']*+'|{BARE}|(?=>)))?+)*+)>|<[!?/][^>]*+>""", re.DOTALL)
 ATTRIBUTE = re.compile(rf"""({NAME})(?:{EQUALS}(?:"([^"]*+)"|'([^']*+)'|({BARE})))?+""")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+STYLE = re.compile(r"(?:/\*.*?\*/|[^;])+", re.DOTALL)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+def styles(value: str) -> dict[str, str]:
+    """Declarations of a style attribute, the last of a name."""
+    out = {}
+    for part in STYLE.findall(value.lower()):
+        name, colon, rest = re.sub(r"/\*.*?\*/", " ", part, flags=re.DOTALL).partition(":")
+        if colon:
+            out[name.strip()] = rest.replace("!important", "").strip()
+    return out
+
+
 def width(line: str) -> int:
     return len(line) if line.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
 
@@ -83,7 +94,7 @@ class Block:
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "invisible", "pre", "block", "count", "rows", "span", "ended")
+    __slots__ = ("tag", "hidden", "invisible", "pre", "block", "count", "rows", "span", "ended", "serial", "items")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag, self.block = tag, None
@@ -93,6 +104,8 @@ class Element:
         self.count = 0
         self.rows: list[list[tuple[int, int, list[str]]]] = []
         self.ended = False
+        self.serial = 0
+        self.items: list[tuple[int | None, list[str]]] | None = None  # of a list that counts down: (given number, lines)
 
 
 class Page:
@@ -102,10 +115,32 @@ class Page:
         self.root = Element("#root", None)
         self.root.block = Block()
         self.stack = [self.root]
-        self.open = Counter()
+        self.by_tag: dict[str, list[Element]] = defaultdict(list)
+        self.flows = [self.root]  # open elements with a block of their own
+        self.bounds: list[Element] = []  # open elements that end lines
+        self.serial = 0
+
+    def top(self) -> Element:
+        """The innermost open element."""
+        while self.stack[-1].ended:
+            self.stack.pop()
+        return self.stack[-1]
 
     def block(self) -> Block:
-        return next(e.block for e in reversed(self.stack) if e.block is not None)
+        while self.flows[-1].ended:
+            self.flows.pop()
+        return self.flows[-1].block
+
+    def is_open(self, tags) -> bool:
+        return any(self.by_tag[t] for t in tags)
+
+    def nearest(self, tags) -> Element | None:
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag[t]), key=lambda e: e.serial, default=None)
+
+    def forget(self, e: Element) -> None:
+        """`e`, the last open element of its tag, is open no more."""
+        e.ended = True
+        self.by_tag[e.tag].pop()
 
     def feed(self, source: str) -> list[str]:
         at = 0
@@ -121,17 +156,19 @@ class Page:
                     self.end(tag)
                 else:
                     self.start(tag, found[3])
-                    if tag in RAW_END and self.open[tag]:
+                    if tag in ("pre", "textarea", "listing"):  # a line end right behind the tag is no text
+                        at += 2 if source.startswith("\r\n", at) else source.startswith(("\n", "\r"), at)
+                    if tag in RAW_END and self.by_tag[tag]:
                         stop = RAW_END[tag].search(source, at)
                         self.text(source[at:stop.start() if stop else len(source)], decode=tag in ("textarea", "title"))
                         at = stop.end() if stop else len(source)
                         self.end(tag)
-        while len(self.stack) > 1:
+        while self.top() is not self.root:
             self.pop()
         return self.root.block.closed()
 
     def text(self, s: str, decode: bool = True) -> None:
-        top = self.stack[-1]
+        top = self.top()
         if not s or top.hidden or top.invisible or top.tag == "details" and not top.count:
             return
         s = html.unescape(s) if decode and "&" in s else s
@@ -150,14 +187,9 @@ class Page:
 
     def in_scope(self, tags: set[str], until: set[str]) -> Element | None:
         """The nearest open element of `tags` inside the nearest of `until`."""
-        if not any(self.open[t] for t in tags):
-            return None
-        for e in reversed(self.stack):
-            if e.tag in tags:
-                return e
-            if e.tag in until:
-                return None
-        return None
+        found = self.nearest(tags)
+        border = self.nearest(until) if found is not None else None
+        return found if border is None or found.serial >= border.serial else None
 
     def close(self, element: Element | None) -> None:
         while element is not None and not element.ended:
@@ -166,7 +198,7 @@ class Page:
     def start(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
             self.close(self.in_scope({"p"}, SCOPE))
-        if tag in HEADING and self.stack[-1].tag in HEADING:
+        if tag in HEADING and self.top().tag in HEADING:
             self.pop()
         if tag in IMPLIED_ENDS:
             ends, until = IMPLIED_ENDS[tag]
@@ -174,11 +206,11 @@ class Page:
             while found is not None:
                 self.close(found)
                 found = self.in_scope(ends, until)
-        if tag in ("td", "th") and self.open["table"] and self.in_scope({"tr"}, {"table"}) is None:
+        if tag in ("td", "th") and self.by_tag["table"] and self.in_scope({"tr"}, {"table"}) is None:
             self.push("tr", {})
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         if tag in VOID:
-            if not self.stack[-1].hidden and not self.stack[-1].invisible:
+            if not self.top().hidden and not self.top().invisible:
                 block = self.block()
                 if tag == "br":
                     if block.run:
@@ -195,40 +227,50 @@ class Page:
         self.push(tag, values)
 
     def push(self, tag: str, values: dict[str, str]) -> None:
-        parent = self.stack[-1]
+        parent = self.top()
         e = Element(tag, parent)
-        style = values.get("style", "").lower().replace(" ", "")
+        style = styles(html.unescape(values["style"])) if "style" in values else {}
         closed = parent.tag == "details" and parent.count == 0 and tag != "summary"
-        if tag in HIDDEN or "hidden" in values or "display:none" in style or closed or (tag == "dialog" and "open" not in values):
+        if tag in HIDDEN or "hidden" in values or style.get("display") == "none" or closed or (tag == "dialog" and "open" not in values):
             e.hidden = True
-        if "visibility:hidden" in style or "visibility:collapse" in style:
-            e.invisible = True
-        elif "visibility:visible" in style:
-            e.invisible = False
-        e.pre = parent.pre or tag in ("pre", "textarea", "listing", "xmp") or "white-space:pre" in style
+        if style.get("visibility") in ("hidden", "collapse", "visible"):
+            e.invisible = style["visibility"] != "visible"
+        e.pre = parent.pre or tag in ("pre", "textarea", "listing", "xmp") or style.get("white-space", "").startswith(("pre", "break-spaces"))
         if tag == "details":
             e.count = int("open" in values)
         if not e.hidden and (tag in MARGIN or tag in LINE) and tag not in ("tr", "tbody", "thead", "tfoot", "td", "th"):
-            nested = tag in LISTS and any(self.open[t] for t in LISTS)
+            nested = tag in LISTS and self.is_open(LISTS)
             self.block().end_line(margin=tag in MARGIN and not nested)
         if tag == "ol":
             e.count = int(values["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", values.get("start", "")) else 0
+            if "reversed" in values:
+                e.items, e.block = [], Block()
+                e.span = [int(values["start"]) if re.fullmatch(r"-?\d{1,9}", values.get("start", "")) else None]
         if tag == "li":
-            owner = next((x for x in reversed(self.stack) if x.tag in LISTS), None)
-            if owner is not None:
+            owner = self.nearest(LISTS)
+            if owner is not None and owner.items is not None:
+                owner.items.append((int(values["value"]) if re.fullmatch(r"-?\d{1,9}", values.get("value", "")) else None, []))
+                e.span = len(owner.items) - 1
+            elif owner is not None:
                 owner.count = int(values["value"]) if re.fullmatch(r"-?\d{1,9}", values.get("value", "")) else owner.count + 1
             e.count = owner.count if owner is not None and owner.tag == "ol" else None
         if tag in ("td", "th"):
             e.span = [min(max(int(values.get(n, "")), 1), most) if values.get(n, "").isdecimal() else 1 for n, most in (("colspan", MAX_COLSPAN), ("rowspan", MAX_ROWSPAN))]
         if tag in ("li", "td", "th", "blockquote", "dd", "caption"):
             e.block = Block()
+        self.serial += 1
+        e.serial = self.serial
         self.stack.append(e)
-        self.open[tag] += 1
+        self.by_tag[tag].append(e)
+        if e.block is not None:
+            self.flows.append(e)
+        if tag in MARGIN or tag in LINE:
+            self.bounds.append(e)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             return self.start("br", "")
-        if not self.open[tag]:
+        if not self.by_tag[tag]:
             return None
         cells = tag in ("table", "tr", "tbody", "thead", "tfoot")
         found = self.in_scope({tag}, {"table"} - {tag} if cells else SCOPE - {tag})
@@ -236,19 +278,19 @@ class Page:
             found = self.in_scope(HEADING, SCOPE)
         if found is None:
             return None
-        if tag not in MARGIN and tag not in LINE and any(e.tag in MARGIN or e.tag in LINE for e in self.stack[self.stack.index(found) + 1:]):
-            self.stack.remove(found)  # an inline element does not close the blocks inside it
-            self.open[tag] -= 1
-            found.ended = True
+        while self.bounds and self.bounds[-1].ended:
+            self.bounds.pop()
+        if tag not in MARGIN and tag not in LINE and self.bounds and self.bounds[-1].serial > found.serial:
+            self.forget(found)  # an inline element does not close the blocks inside it
             return None
         return self.close(found)
 
     def pop(self) -> None:
-        e = self.stack.pop()
-        e.ended = True
-        self.open[e.tag] -= 1
+        e = self.top()
+        self.stack.pop()
+        self.forget(e)
         if e.tag == "tr":
-            owner = next((x for x in reversed(self.stack) if x.tag == "table"), None)
+            owner = self.nearest({"table"})
             if owner is not None and not e.hidden:
                 owner.rows.append([c for row in e.rows for c in row])
             elif not e.hidden:  # a row without a table stands in the text around it
@@ -259,7 +301,7 @@ class Page:
             return
         lines = e.block.closed() if e.block is not None else []
         if e.tag in ("td", "th"):
-            row = next((x for x in reversed(self.stack) if x.tag in ("tr", "table")), None)
+            row = self.nearest({"tr", "table"})
             if row is not None and row.tag == "tr":
                 row.rows.append([(*e.span, lines)])
             else:
@@ -270,9 +312,21 @@ class Page:
             self.block().add(laid_out(e.rows))
             self.block().gap = True
         elif e.tag == "li":
-            mark = "- " if e.count is None else f"{e.count}. "
-            self.block().end_line()
-            self.block().add([(mark if i == 0 else " " * len(mark) * bool(x)) + x for i, x in enumerate(lines or [""])])
+            owner = self.nearest(LISTS)
+            if owner is not None and owner.items is not None:
+                owner.items[e.span] = owner.items[e.span][0], lines
+            else:
+                self.block().end_line()
+                self.block().add(item("- " if e.count is None else f"{e.count}. ", lines))
+        elif e.items is not None:
+            self.block().end_line(margin=not self.is_open(LISTS))
+            self.block().add(lines)
+            number = e.span[0] if e.span[0] is not None else len(e.items)
+            for given, inside in e.items:
+                number = number if given is None else given
+                self.block().add(item(f"{number}. ", inside))
+                number -= 1
+            self.block().end_line(margin=not self.is_open(LISTS))
         elif e.tag in ("blockquote", "dd"):
             self.block().end_line(margin=e.tag == "blockquote")
             self.block().add([("    " if x else "") + x for x in lines])
@@ -280,10 +334,14 @@ class Page:
         elif e.tag == "caption":
             self.block().add(lines)
         elif e.tag in MARGIN or e.tag in LINE:
-            nested = e.tag in LISTS and any(self.open[t] for t in LISTS)
+            nested = e.tag in LISTS and self.is_open(LISTS)
             self.block().end_line(margin=e.tag in MARGIN and not nested)
 
 
+def item(mark: str, lines: list[str]) -> list[str]:
+    return [(mark if i == 0 else " " * len(mark) * bool(x)) + x for i, x in enumerate(lines or [""])]
+
+
 def laid_out(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
     """Lines of a table: every column as wide as its widest cell, two spaces between columns, the end of lines bare."""
     busy: dict[int, int] = {}
