@@ -9,6 +9,7 @@ partitions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,6 +64,21 @@ STEPS = _steps()
 ENDS = [0 if s in (START, ASSISTANT) else INSERT * len(INSERTS[s, ASSISTANT]) for s in _STATES]
 
 
+MARK = re.compile(r"<(\\*)\|")
+ESCAPED = re.compile(r"<\\(\\*)\|")
+TURN = re.compile(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
+
+
+def escaped(text: str) -> str:
+    """A text in which no mark can be read: a backslash more stands between every `<` and `|` that only backslashes part."""
+    return MARK.sub(r"<\\\1|", text) if "|" in text else text
+
+
+def turns_of(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a rendered conversation, the texts as they were before they were escaped."""
+    return [(role, ESCAPED.sub(r"<\1|", text)) for role, text in TURN.findall(rendered)]
+
+
 def role_of(name: str | None) -> int | None:
     return ALIASES.get(name.strip().lower()) if name else None
 
@@ -176,7 +192,7 @@ def _formatted(known: dict[tuple[int, int], tuple[int, list[int], int, int, bool
                 for role_in in path:
                     out.append((row[0], turn, None, None, None, "insert", ROLES[role_in], "<|end|>\n" * begun + f"<|{ROLES[role_in]}|>\n"))
                     turn, begun = turn + 1, True
-                text = row[3] or ""
+                text = escaped(row[3] or "")
                 if merged:
                     piece_text = "\n" + text
                 else:
@@ -209,6 +225,9 @@ def repair_roles(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     first in order is taken, so the result does not depend on the partitions. Turns come in order of turn (null
     first), role and text; a null conversation is one like others.
 
+    A rendered turn is `<|role|>`, a line end, the text and `<|end|>` with a line end; what looks like a mark in a text is
+    escaped, and `turns_of` reads the turns back.
+
     Turns are range-partitioned, so that a long conversation spreads over many tasks, and never met as a whole:
     two cost matrices for each partition are all that the driver combines.
     """
