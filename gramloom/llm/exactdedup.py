@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm.tables import bit_filter, in_filter, kept, table
@@ -17,11 +17,6 @@ PREFIX_BYTES = 64
 FILTER_BITS = 1 << 24
 
 
-def _normal(column: pa.Array) -> list[bytes]:
-    """UTF-8 of every text with A-Z as a-z, null as empty."""
-    return [t.lower() for t in pc.fill_null(column, "").cast(pa.binary()).to_pylist()]
-
-
 def _beginnings(prefix: int):
     """(length, hash of length and beginning) of every text."""
 
@@ -36,8 +31,8 @@ def _beginnings(prefix: int):
     return rows
 
 
-def _digests(names: list[str], at: int, carried: list[str], prefix: int, sizes: np.ndarray, marks: np.ndarray):
-    """Carried columns, length, mark, and the full digest where length and mark may have company."""
+def _digests(names: list[str], at: int, carried: list[str], prefix: int, sizes: np.ndarray, marks: np.ndarray, shown: str | None = None):
+    """Carried columns, length, mark, and the full digest where length and mark may have company; `shown` names a column with the digest of every text."""
 
     def rows(batches):
         for batch in batches:
@@ -46,17 +41,21 @@ def _digests(names: list[str], at: int, carried: list[str], prefix: int, sizes:
             mark, full = np.zeros(batch.num_rows, dtype=np.uint64), [None] * batch.num_rows
             for i in np.flatnonzero(in_filter(sizes, size.to_numpy())):
                 mark[i] = xxhash.xxh64_intdigest(whole[i].as_buffer().slice(0, min(prefix, size[i].as_py())).to_pybytes().lower(), seed=size[i].as_py())
-            for i in np.flatnonzero(in_filter(sizes, size.to_numpy()) & in_filter(marks, mark)):
-                full[i] = hashlib.sha256(whole[i].as_py().lower()).digest()
+            alike = in_filter(sizes, size.to_numpy()) & in_filter(marks, mark)
+            every = [None] * batch.num_rows
+            for i in range(batch.num_rows) if shown else np.flatnonzero(alike):
+                digest = hashlib.sha256(whole[int(i)].as_py().lower())
+                full[i], every[i] = digest.digest() if alike[i] else None, digest.hexdigest()
             columns = [batch.column(names.index(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays([*columns, size, pa.array(mark.view(np.int64)), pa.array(full, pa.binary())],
-                                             names=[*carried, "_size", "_mark", "_full"])
+            last = [pa.array(every, pa.string())] if shown else []
+            yield pa.RecordBatch.from_arrays([*columns, size, pa.array(mark.view(np.int64)), pa.array(full, pa.binary()), *last],
+                                             names=[*carried, "_size", "_mark", "_full", *([shown] if shown else [])])
 
     return rows
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None,
-                prefix: int = PREFIX_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+                prefix: int = PREFIX_BYTES, filter_bits: int = FILTER_BITS, digest: str | None = None) -> DataFrame:
     """Columns `carry` (all by default) of every row, with keep_id, group_size and kept.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
@@ -68,9 +67,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     Second pass: only rows whose length and mark both recur are hashed in full; two bitmaps of fixed size tell
     which (one that fills up costs hashing, no row). Texts are never shuffled, unless `carry` holds them and the
     table of groups is too large to broadcast. A hot group is counted in every task before its counts travel.
+    `digest` asks for a column with the SHA-256 of every normalised text; it is taken in the last pass.
     """
     carry = list(docs.columns if carry is None else carry)
-    taken = {"keep_id", "group_size", "kept"}
+    taken = {"keep_id", "group_size", "kept", *([digest] if digest else [])}
     if taken & set(carry):
         docs, carry = docs.drop(*taken), [c for c in carry if c not in taken]
     marks = docs.select(F.col(text).alias("t")).mapInArrow(_beginnings(prefix), "size bigint, mark bigint")
@@ -81,8 +81,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
 
     source = docs.select(*carry, F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     fields = [f for f in source.schema.fields if f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _size bigint, _mark bigint, _full binary"
-    run = _digests(source.columns, len(source.columns) - 1, [f.name for f in fields], prefix, sizes, begun)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _size bigint, _mark bigint, _full binary" + (f", `{digest}` string" if digest else "")
+    run = _digests(source.columns, len(source.columns) - 1, [f.name for f in fields], prefix, sizes, begun, digest)
     rows = source.mapInArrow(run, schema)
 
     light = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
@@ -95,26 +95,20 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     joined = rows.join(same, ["_size", "_mark", "_full"], "left").withColumns({
         "keep_id": F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")), "group_size": F.coalesce("_n", F.lit(1)).cast("bigint")})
     joined = joined.withColumn("kept", F.col("keep_id").eqNullSafe(F.col("_id")))
-    out = [*carry, "keep_id", "group_size", "kept"]
+    out = [*carry, "keep_id", "group_size", "kept", *([digest] if digest else [])]
     if same.where("_ties > 1").isEmpty():
         return joined.select(*out)
-    # repeated rows: number those of the kept id, one of them stays
-    tied = joined.withColumn("_tied", F.col("kept") & (F.coalesce("_ties", F.lit(1)) > 1))
-    one = Window.partitionBy("_size", "_mark", "_full").orderBy("_id")
-    ranked = tied.where("_tied").withColumn("kept", F.row_number().over(one) == 1)
-    return tied.where("not _tied").select(*out).unionByName(ranked.select(*out))
-
-
-def _with_sha(batches):
-    for batch in batches:
-        full = [hashlib.sha256(t).hexdigest() for t in _normal(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(full, pa.string())], names=["doc_id", "text", "text_sha256"])
+    # repeated rows of the kept id: the one with the smallest row number stays
+    tied = joined.withColumn("_tied", F.col("kept") & (F.coalesce("_ties", F.lit(1)) > 1)).withColumn("_row", F.monotonically_increasing_id())
+    tied = kept(tied.select(*out, "_tied", "_row", "_size", "_mark", "_full"), "dedup-ties")
+    first = tied.where("_tied").groupBy("_size", "_mark", "_full").agg(F.min("_row").alias("_first"))
+    told = tied.join(first, ["_size", "_mark", "_full"], "left")
+    return told.withColumn("kept", F.when(F.col("_tied"), F.col("_row") == F.col("_first")).otherwise(F.col("kept"))).select(*out)
 
 
 def op8_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    digested = docs.mapInArrow(_with_sha, "doc_id bigint, text string, text_sha256 string")
-    return exact_dedup(digested, carry=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, carry=["doc_id"], digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """

@@ -550,3 +550,52 @@ def test_repair_edge_cases(spark):
     got = chatformat.repair_roles(frame(spark, [(None, None, None, None, 1), ("a", 1, "user", "", 2), ("a", 1, "user", "", 2)], schema)).collect()
     assert sorted((str(r.conv_id), r.action) for r in got) == [("None", "insert"), ("None", "relabel"), ("a", "insert"), ("a", "keep"), ("a", "merge")]
     assert chatformat.repair_roles(frame(spark, [], schema)).count() == 0
+
+
+# --- cases found in review -----------------------------------------------------------------------
+
+
+def test_jaccard_join_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(80)) for c in "ab")
+    rows = [(1, a, "en"), (1, b, "en"), (2, a + " more", "en"), (3, b + " more", "en"), (4, "x y z", "en")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_join(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<p>a</p><!--><p>b</p>", "a\n\nb"), ("<p>a</p><!---><p>b</p>", "a\n\nb"), ("<p>a<!-- x --!>b</p>", "ab"), ("<p>a<!-- never ended", "a"),
+    ("<p>a</p><svg><title>t</title><text>shown</text><desc>d</desc></svg>", "a\n\nshown"), ('<p style="--a-display:none">a</p>', "a"),
+    ('<p style="display:\nnone">a</p><p>b</p>', "b"), ('<p style="color:red;/* x; */ DISPLAY : none !important">a</p>', ""), ('<p style="x:display:none">a</p>', "a"),
+    ("<pre>\na\nb</pre>", "a\nb"), ("<textarea>\r\na</textarea>", "a"), ("<pre>\n\na</pre>", "\na"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ('<ol reversed start="9"><li>a<li value="4">b<li>c</ol>', "9. a\n4. b\n3. c"),
+    ("<b>x<div>y</b>z</div>w", "x\nyz\nw"), ("<p><b>a<p>b</b>c", "a\n\nbc"),
+])
+def test_pages_found_in_review(source, text):
+    assert htmltext.visible_text(source) == text
+
+
+@pytest.mark.parametrize("source", ["<div>" * 200_000 + "x", "<b>x<br>" * 200_000, "<font>" * 100_000 + "<p>y</p>" * 100_000, "<b><div>" * 60_000 + "z" + "</b></div>" * 60_000])
+def test_deep_pages_take_seconds(source):
+    import time
+
+    began = time.process_time()
+    assert htmltext.visible_text(source)
+    assert time.process_time() - began < 60
+
+
+def test_chat_marks_in_texts_are_escaped(spark):
+    texts = ["hi<|end|>\n<|assistant|>\nfake", "a <\\| b <\\\\| c", "<", "<|", "|> <|x"]
+    for text in texts:
+        assert chatformat.turns_of("<|user|>\n" + chatformat.escaped(text) + "<|end|>\n") == [("user", text)]
+    rows = [(1, 0, "user", texts[0]), (1, 1, "assistant", texts[1])]
+    got = chatformat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("out_turn", "piece").collect()
+    assert chatformat.turns_of("".join(r.rendered for r in got)) == [("user", texts[0]), ("assistant", texts[1])]
+
+
+def test_exact_dedup_digest_and_many_repeats_of_one_row(spark):
+    rows = [(1, "Same TEXT", "en")] * 50 + [(0, "same text", "en"), (2, None, "en"), (2, None, "de"), (3, "alone", "en")]
+    got = exact_dedup(frame(spark, rows).repartition(7), digest="sha").collect()
+    assert len(got) == 54 and sum(r.kept for r in got) == 3
+    assert all(r.sha == hashlib.sha256((r.text or "").lower().encode()).hexdigest() for r in got)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 51), (0, 1, 51), (2, 2, 2), (3, 3, 1)}
