@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gramloom.operators.order import global_rank, running_sum
@@ -141,6 +144,20 @@ def token_totals(df: DataFrame, tokens: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.sum(F.size(tokens)).cast("bigint").alias("n_tokens"))
 
 
+def token_rate(df: DataFrame, tokens: Column, write: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(n_docs, n_tokens, seconds, tokens_per_second) of one run over `df`: counted by the way while `write` consumes the rows.
+
+    Without `write` the rows are only read. No second pass counts them.
+    """
+    seen = Observation("tokens")
+    watched = df.observe(seen, F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).cast("bigint").alias("n_tokens"))
+    began = time.perf_counter()
+    (write or (lambda rows: rows.write.format("noop").mode("overwrite").save()))(watched)
+    seconds, got = max(time.perf_counter() - began, 1e-9), seen.get
+    row = (got["n_docs"], got["n_tokens"], seconds, got["n_tokens"] / seconds)
+    return df.sparkSession.createDataFrame([row], "n_docs bigint, n_tokens bigint, seconds double, tokens_per_second double")
+
+
 def max_length(df: DataFrame, tokens: Column) -> DataFrame:
     return df.agg(F.max(F.size(tokens)).alias("max_len"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import io
 import zipfile
 
@@ -320,6 +322,20 @@ def snk_04(spark, sf):
     return spark.read.schema("author_id bigint, conv_id bigint, content string, lang string").parquet(path)
 
 
+@query("snk_04_author_store", """
+WITH c AS (SELECT conv_id AS author_id, turn AS conv_id, text FROM conversations), k AS (SELECT author_id, count(*) AS keys FROM c GROUP BY 1)
+SELECT author_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, any_value(keys) AS keys FROM c JOIN k USING (author_id) GROUP BY 1""")
+def snk_04_store(spark, sf):
+    """Turns, their characters and keys of each author, from the bucketed store joined with its index."""
+    name = f"authors_{uuid.uuid4().hex}"
+    conv = table(spark, sf, "conversations").select(F.col("conv_id").alias("author_id"), F.col("turn").alias("conv_id"), F.col("text").alias("content"))
+    path = scratch_path(spark, "authors")
+    wr.write_author_store(conv, name, path, buckets=16)
+    keys = spark.table(f"{name}_keys").groupBy("author_id").agg(F.count("*").alias("keys"))
+    rows = spark.table(name).groupBy("author_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    return rows.join(keys, "author_id")
+
+
 @query("snk_05_vocabulary_files", k.term_counts(k.words("text")))
 def snk_05(spark, sf):
     path = scratch_path(spark, "vocab")

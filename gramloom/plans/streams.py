@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gramloom.functions.tokens import wiki_tokens
+from gramloom.functions.tokens import analyze, wiki_tokens
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import query, table
 from gramloom.plans.text import _wiki_sql
@@ -37,6 +37,31 @@ def str_02(spark, sf):
     return jobs.run_to_table(jobs.ngram_lines(_stream(spark, sf, "benchmark", "item_id", "text"), 3, 4), "grams")
 
 
+@query("str_02_block_ngrams", _interleaved(3, 4).replace(k.clean("text"), r"regexp_replace(coalesce(text, ''), '[\t\r\n]', '_', 'g')"))
+def str_02_blocks(spark, sf):
+    """Items cut into blocks of 37 characters, which arrive file by file in no order; their lines glued together."""
+    items = table(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 37).cast("int"))
+    blocks = items.select("item_id", F.posexplode(F.transform(starts, lambda i: F.substr("text", i * 37 + 1, F.lit(37)))).alias("block", "piece"))
+    path = scratch_path(spark, "blocks")
+    blocks.repartition(5, F.col("block") % 5).write.parquet(path)
+    stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    lines = jobs.run_to_table(jobs.block_ngram_lines(stream, "item_id", "block", "piece", 3, 4), "block-grams")
+    glued = lines.where("line <> ''").groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), " ").alias("line"))
+    return glued
+
+
+@query("agg_17_stream_rate", f"SELECT count(*) AS n_docs, CAST(sum(len({k.words('text')})) AS BIGINT) AS n_tokens, true AS timed FROM documents")
+def agg_17_stream(spark, sf):
+    """Totals over the observed micro-batches of the documents as a stream of four files."""
+    path = scratch_path(spark, "parts")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartition(4, "doc_id").write.parquet(path)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rates = jobs.stream_rates(stream, analyze("text"), scratch_path(spark, "rated"), scratch_path(spark, "rated-state"))
+    return rates.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), ((F.min("tokens_per_second") > 0) & (F.count("*") > 1)).alias("timed"))
+
+
 @query("str_03_incremental_vocabulary", f"WITH c AS ({k.term_counts(k.words('text'))}) SELECT token, tf FROM c WHERE tf >= 2")
 def str_03(spark, sf):
     path = scratch_path(spark, "counts")

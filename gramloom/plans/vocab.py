@@ -9,6 +9,7 @@ from gramloom.functions.tokens import analyze, char_gram_range, unique_tokens, w
 from gramloom.operators import features, order, sampling, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, query, table
+from gramloom.session import scratch_path
 
 WORDS = k.term_counts(k.words("text"))
 GRAMS = k.term_counts(k.gram_range(k.clean("text"), 3, 4))
@@ -109,6 +110,15 @@ def agg_17(spark, sf):
     return vocab.token_totals(documents(spark, sf, "doc_id", "text"), analyze("text"))
 
 
+@query("agg_17_token_rate", f"SELECT count(*) AS n_docs, CAST(sum(len({k.words('text')})) AS BIGINT) AS n_tokens, true AS timed FROM documents")
+def agg_17_rate(spark, sf):
+    """Totals observed while the tokenised documents are written, and that a rate came with them."""
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", analyze("text").alias("t"))
+    path = scratch_path(spark, "tokens")
+    rate = vocab.token_rate(docs, F.col("t"), lambda rows: rows.write.parquet(path))
+    return rate.select("n_docs", "n_tokens", (F.col("tokens_per_second") > 0).alias("timed"))
+
+
 @query("agg_20_longest_sequence", f"SELECT max(len({k.words('text')})) AS max_len FROM documents")
 def agg_20(spark, sf):
     return vocab.max_length(documents(spark, sf, "doc_id", "text"), analyze("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gramloom.functions.text import title_bucket, title_key
 from gramloom.operators.filters import dedupe
@@ -64,6 +65,33 @@ def write_conversations(df: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("lang").parquet(path)
 
 
+AUTHOR_BUCKETS = 64
+
+
+def _open_bucketed(spark: SparkSession, name: str, path: str, columns: str, buckets: int) -> DataFrame:
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({columns}) USING parquet CLUSTERED BY (author_id) SORTED BY (author_id, conv_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def write_author_store(df: DataFrame, name: str, path: str, buckets: int = AUTHOR_BUCKETS) -> DataFrame:
+    """Conversations and their key index as tables `name` and `name`_keys, bucketed by author and sorted by author and conversation.
+
+    Joins of the two, or with another table in as many buckets, need no exchange; one author is read from one bucket.
+    `open_author_store` finds both again from another session.
+    """
+    for part, rows in ((name, df), (f"{name}_keys", df.select("author_id", "conv_id"))):
+        shuffled = rows.repartition(buckets, "author_id")  # a task fills one bucket
+        shuffled.write.bucketBy(buckets, "author_id").sortBy("author_id", "conv_id").option("path", f"{path}/{part}").mode("overwrite").saveAsTable(part)
+    return df.sparkSession.table(name)
+
+
+def open_author_store(spark: SparkSession, name: str, path: str, columns: str, buckets: int = AUTHOR_BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(conversations, keys) of a store that `write_author_store` wrote with these columns and buckets."""
+    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(columns)}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in ("author_id", "conv_id"))
+    return _open_bucketed(spark, name, f"{path}/{name}", columns, buckets), _open_bucketed(spark, f"{name}_keys", f"{path}/{name}_keys", keys, buckets)
+
+
 def build_key_index(df: DataFrame, path: str) -> DataFrame:
     """(author_id, conv_id) index, written once and read from then on."""
     spark = df.sparkSession

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from gramloom.functions.text import plain_alphabet
 from gramloom.functions.tokens import analyze, char_grams_interleaved, wiki_tokens
@@ -122,3 +126,86 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     append_to(stream, path, scratch_path(spark, f"{name}-state"))
     return spark.read.schema(stream.schema).parquet(path)
+
+
+# ---- n-grams of unbroken streams that come in blocks ----
+
+def block_grams(tail: str, block: str, lo: int, hi: int) -> list[str]:
+    """n-grams of orders lo..hi that end in `block`, by end and order; `tail` are the characters before it."""
+    text = tail + block
+    return [text[e - n:e] for e in range(len(tail) + 1, len(text) + 1) for n in range(lo, hi + 1) if e >= n]
+
+
+def block_ngram_lines(stream: DataFrame, key: str, block: str, text: str, lo: int, hi: int) -> DataFrame:
+    """(key, block, line): the n-grams that end in each block of a stream of characters, blanks and line ends as underscores.
+
+    Blocks of a key are numbered 0, 1, ... and may come in any micro-batch and order; one that comes early waits in the
+    state until those before it are there. Besides, the state of a key holds its last hi - 1 characters and the next number. Glued
+    in order of their blocks, the lines hold the n-grams of the unbroken text, however it was cut. A repeated block is ignored.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+
+    def run(group, frames, state):
+        tail, due, waiting = (state.get if state.exists else ("", 0, "{}"))
+        held = {int(k): v for k, v in json.loads(waiting).items()}
+        for frame in frames:
+            held |= {int(b): t or "" for b, t in zip(frame["block"], frame["text"]) if b >= due and b not in held}
+        rows = []
+        while due in held:
+            piece = held.pop(due)
+            rows.append((group[0], due, " ".join(block_grams(tail, piece, lo, hi))))
+            tail, due = (tail + piece)[len(tail + piece) - (hi - 1):] if hi > 1 and len(tail + piece) >= hi else (tail + piece if hi > 1 else ""), due + 1
+        state.update((tail, due, json.dumps(held)))
+        yield pd.DataFrame(rows, columns=["key", "block", "line"])
+
+    blocks = stream.select(F.col(key).alias("key"), F.col(block).cast("bigint").alias("block"), F.translate(text, " \t\r\n", "____").alias("text"))
+    told = blocks.groupBy("key").applyInPandasWithState(run, f"key {kind}, block bigint, line string", "tail string, due bigint, waiting string", "append", "NoTimeout")
+    return told.withColumnsRenamed({"key": key, "block": block})
+
+
+# ---- token rates ----
+
+class RateListener(StreamingQueryListener):
+    """Keeps documents, tokens and seconds of every micro-batch that `observe_tokens` counts."""
+
+    def __init__(self, name: str = "tokens"):
+        super().__init__()
+        self.name, self.rows = name, []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        seen = p.observedMetrics.get(self.name)
+        if seen is not None and seen["n_docs"]:
+            self.rows.append((p.batchId, seen["n_docs"], seen["n_tokens"], max(p.durationMs.get("triggerExecution", 0), 1) / 1000))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(batch_id, n_docs, n_tokens, seconds, tokens_per_second)."""
+        rows = spark.createDataFrame(self.rows, "batch_id bigint, n_docs bigint, n_tokens bigint, seconds double")
+        return rows.withColumn("tokens_per_second", F.col("n_tokens") / F.col("seconds"))
+
+
+def observe_tokens(df: DataFrame, tokens: Column, name: str = "tokens") -> DataFrame:
+    """The same rows; whoever runs them can read the number of documents and tokens that went by."""
+    return df.observe(name, F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
+def stream_rates(stream: DataFrame, tokens: Column, path: str, state: str) -> DataFrame:
+    """Drains a stream into parquet and tells the token rate of each micro-batch."""
+    spark, listener = stream.sparkSession, RateListener()
+    spark.streams.addListener(listener)
+    try:
+        query = observe_tokens(stream, tokens).writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.table(spark)
