@@ -4,6 +4,7 @@ import hashlib
 import random
 from bisect import bisect_left
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,10 @@ def test_pieces_hold_no_space_inside():
     assert not any(ta.SPACE in p.id_to_piece(i).lstrip(ta.SPACE) for i in range(p.get_piece_size()))
 
 
+def groups_of(a, b, firsts=(0,)):
+    return ta.align(np.array(a), np.array(b), np.array(firsts)).tolist()
+
+
 def test_align_of_random_ends():
     rng = random.Random(7)
     for _ in range(300):
@@ -116,16 +121,18 @@ def test_align_of_random_ends():
         a = sorted({*rng.sample(range(1, 80), rng.randrange(0, n)), 80})
         b = sorted({*rng.sample(range(1, 80), rng.randrange(0, n)), 80})
         cuts = sorted(set(a) & set(b))
-        groups = ta.align(a, b)
-        assert [a[g[1] - 1] for g in groups] == cuts == [b[g[3] - 1] for g in groups]
-        assert [g[0] for g in groups] == [0, *[g[1] for g in groups[:-1]]] and groups[-1][1] == len(a) and groups[-1][3] == len(b)
+        assert groups_of(a, b) == [0, *[a.index(c) + 1 for c in cuts[:-1]]]
+        some = [0, *[a.index(c) + 1 for c in cuts[:-1] if rng.random() < 0.5]]
+        assert groups_of(a, b, some) == groups_of(a, b)
+        pairs = [(i, j) for i, (x, y) in enumerate(zip([0, *a], a)) for j, (u, v) in enumerate(zip([0, *b], b)) if x < v and u < y]
+        assert list(zip(*(x.tolist() for x in ta.links(np.array(a), np.array(b))))) == pairs
 
 
 def test_align_of_long_intervals_is_fast():
     odd, even = list(range(1, 400_001, 2)) + [400_002], list(range(2, 400_003, 2))
-    assert ta.align(odd, even) == [(0, len(odd), 0, len(even))]
+    assert groups_of(odd, even) == [0]
     same = list(range(1, 100_001))
-    assert len(ta.align(same, same)) == 100_000
+    assert groups_of(same, same) == list(range(100_000))
 
 
 def test_edge_cases(spark):
@@ -136,13 +143,3 @@ def test_edge_cases(spark):
     got = ta.link_support(ta.align_tokens(docs, *ta.model_files()))
     rows = got.collect()
     assert len(rows) == 3 and all((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.pair) == (2, 2, 2, 2, 2, 6, "x") for r in rows)
-
-
-def test_memo_is_emptied(monkeypatch):
-    p = ta.Pair(*ta.model_files())
-    monkeypatch.setattr(ta, "MEMO_STRETCHES", 3)
-    for i in range(5):
-        p.learn([f" w{i}", f" v{i}"])
-        assert len(p.groups) <= 5
-    p.forget_long([" " + "x" * 5000])
-    assert not p.known
