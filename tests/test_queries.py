@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check import TABLES, rows  # noqa: E402
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# fits that take long even on the smallest tables; tests/test_operators.py covers their parts
+# dozens of fits, minutes even on the smallest tables; tests/test_crossval.py and tests/test_operators.py run the same code on smaller ones
 SLOW = {"ml_18_experiments", "ml_19_replication_matrix"}
 
 
