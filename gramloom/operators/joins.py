@@ -69,6 +69,19 @@ def categorize_by_url(df: DataFrame, categories: DataFrame, key: str = "page_id"
     return df.join(best, key, "left").select(*df.columns, F.col("_c.site").alias("site"), F.col("_c.cat").alias("cat"))
 
 
+# English names of the news categories.
+ENGLISH_CATEGORIES = {
+    "传媒": "media", "体育": "sports", "健康": "health", "公益": "general", "军事": "military", "国内": "domestic", "国际": "international", "女人": "woman",
+    "女性": "woman", "娱乐": "entertainment", "媒体": "media", "房产": "real estate", "招聘": "jobs", "教育": "education", "文化": "culture", "旅游": "travel",
+    "时尚": "fashion", "校园": "campus", "汽车": "auto", "社会": "society", "科技": "technology", "财经": "finance", "IT": "technology",
+}
+
+
+def english_category(cat: Column) -> Column:
+    """English name of a category; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ENGLISH_CATEGORIES.items() for x in pair]), cat)
+
+
 def attach_texts(index: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows of an index with the text of the file they name."""
     return index.join(texts, "filename")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import io
+import uuid
 import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from gramloom.functions.tokens import analyze
+from gramloom.operators import joins as jn
 from gramloom.operators import order, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, pages, query, table
-from gramloom.session import scratch_path, spread
+from gramloom.session import scratch_path, settled, spread
 from gramloom.sinks import writers as wr
 from gramloom.sources import lines as ln
 from gramloom.sources import news as nw
@@ -197,6 +197,36 @@ def src_15(spark, sf):
     return ln.read_block_docs(spark, _write_lines(spark, p.select(block), "blocks"), charset="UTF-8").drop("line")
 
 
+@query("src_15_charset_docs", r"""
+SELECT url, CAST(page_id AS VARCHAR) AS docno, '标题' || page_id AS contenttitle, '中文 ' || regexp_replace(translate(html, '<>', '()'), '\s+', ' ', 'g') AS content FROM pages""")
+def src_15_charset(spark, sf):
+    """Whole pages as blocks in GB18030 files, read back through the reader."""
+    content = F.concat(F.lit("中文 "), F.regexp_replace(F.translate("html", "<>", "()"), r"[ \t\n\f\r]+", " "))
+    number = F.col("page_id").cast("string")
+    block = F.concat(F.lit("<doc>\n<url>"), "url", F.lit("</url>\n<docno>"), number, F.lit("</docno>\n<contenttitle>标题"), number, F.lit("</contenttitle>\n<content>"), content, F.lit("</content>\n</doc>"))
+    written = ln.encode_charset(pages(spark, sf, "page_id", "url", "html").select(block.alias("value")), "value", "GB18030")
+    return ln.read_block_docs(spark, _write_lines(spark, written, "charset-blocks")).drop("line")
+
+
+CATEGORY = "['体育', '财经', '教育', '旅游', '其他'][CAST(length(host) % 5 AS INTEGER) + 1]"
+
+
+@query("jn_05_english_category", rf"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^https:', 'http:') AS url FROM pages), h AS (SELECT page_id, url, regexp_extract(url, '^http://([^/]+)/', 1) AS host FROM p),
+  c AS (SELECT page_id, url, CASE WHEN host <> '' THEN 's' || length(host) END AS site, CASE WHEN host <> '' THEN {CATEGORY} END AS cat FROM h)
+SELECT *, CASE cat WHEN '体育' THEN 'sports' WHEN '财经' THEN 'finance' WHEN '教育' THEN 'education' WHEN '旅游' THEN 'travel' END AS cat_en FROM c""")
+def jn_05_english(spark, sf):
+    """Pages by the categories of a GB18030 list of sites, category lines and URL prefixes, with their English names."""
+    p = pages(spark, sf, "page_id", "url").withColumn("url", F.regexp_replace("url", "^https:", "http:"))
+    hosts = p.select(F.regexp_extract("url", "^http://([^/]+)/", 1).alias("host")).where("host <> ''").distinct()
+    n = F.length("host")
+    names = F.array(*map(F.lit, ["体育", "财经", "教育", "旅游", "其他"]))
+    lines = F.array(F.concat(F.lit("7. s"), n.cast("string"), F.lit(" home")), F.concat(F.get(names, n % 5), F.lit("：")), F.lit(""), F.concat(F.lit("http://"), "host", F.lit("/")))
+    rows = hosts.select("host", F.posexplode(lines).alias("i", "value")).orderBy("host", "i").select("value")
+    listed = ln.read_url_categories(spark, _write_lines(spark, ln.encode_charset(rows, "value", "GB18030"), "categories"))
+    return jn.categorize_by_url(p, listed).withColumn("cat_en", jn.english_category(F.col("cat")))
+
+
 @query("src_16_url_categories", """
 SELECT 'site' || (page_id // 10) AS site, CASE WHEN page_id >= 4 THEN 'cat' || ((page_id - 4) // 5) END AS cat, 'http:' || page_id AS prefix FROM pages""")
 def src_16(spark, sf):
@@ -228,6 +258,19 @@ def src_18(spark, sf):
     return rc.class_rows(named)
 
 
+@query("src_18_class_files", r"""
+WITH d AS (SELECT lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract FROM documents)
+SELECT DISTINCT 't' || length(abstract) AS title, lang AS category, abstract FROM d WHERE abstract <> '' AND lang IN ('de', 'en', 'es', 'fr')""")
+def src_18_files(spark, sf):
+    """One CSV per class, read back, cleaned and without repeats."""
+    path, classes = scratch_path(spark, "classes"), ["de", "en", "es", "fr"]
+    abstract = F.trim(F.regexp_replace("text", r"[ \t\n\f\r]+", " "))
+    docs = settled(documents(spark, sf, "lang", "text").select("lang", F.concat(F.lit("t"), F.length(abstract).cast("string")).alias("title"), abstract.alias("abstract")).where("abstract <> ''"))
+    for name in classes:
+        docs.where(F.col("lang") == name).select("title", "abstract").write.csv(f"{path}/{name}.csv", header=True, quoteAll=True, escape='"')
+    return rc.read_class_csvs(spark, path, classes).select("title", "category", "abstract")
+
+
 @query("src_19_token_stream", r"""
 SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text), '\s+')) AS token FROM documents) WHERE token <> '' GROUP BY 1""")
 def src_19(spark, sf):

@@ -94,6 +94,17 @@ def decode_charset(df: DataFrame, col: str, charset: str) -> DataFrame:
         spark.conf.set(CHARSET_SWITCH, before)
 
 
+def encode_charset(df: DataFrame, col: str, charset: str) -> DataFrame:
+    """A text column whose bytes are those of the charset, ready to be written as lines."""
+    spark = df.sparkSession
+    before = spark.conf.get(CHARSET_SWITCH)
+    spark.conf.set(CHARSET_SWITCH, "true")
+    try:
+        return df.withColumn(col, F.encode(F.col(col), charset).cast("string"))
+    finally:
+        spark.conf.set(CHARSET_SWITCH, before)
+
+
 def read_block_docs(spark: SparkSession, path: str, charset: str = "GB18030", limit: int | None = None) -> DataFrame:
     """(url, docno, contenttitle, content) of <doc> blocks, one record per block."""
     blocks = decode_charset(numbered_lines(spark, path, lineSep="</doc>"), "value", charset)
