@@ -103,12 +103,20 @@ def _sql() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in [*TEXTS.items(), *((n, x) for n, xs in NOTICES.items() for x in xs)])
+    titled = [(name, f"{title}\n\n{TEXTS[name]}") for name, titles in TITLES.items() for title in titles]
+    known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in [*TEXTS.items(), *titled, *((n, x) for n, xs in NOTICES.items() for x in xs)])
     words = "map {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS.items()) + "}"
 
+    # line by line; the next word is looked at by itself, as this engine's patterns cannot look ahead
+    opening = r"^[ \t*#/;-]*"
+    named = rf"{opening}copyrights?(:[ \t]*|[ \t]+)"
+    surely = rf"{opening}(copyrights?[ \t]*(\(c\)|©)|\(c\)|©|all rights reserved)"
+    statement = (rf"regexp_matches(x, {quoted(surely)}) OR (regexp_matches(x, {quoted(named + r"""[^ \t\n\r\f\x0B,.;:)"']""")})"
+                 rf" AND NOT regexp_matches(x, {quoted(f'{named}({_BODY.decode()})($|[^a-z0-9])')}))")
+
     def digest(t: str) -> str:
         low = f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        plain = rf"regexp_replace({low}, '(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+        plain = f"array_to_string(list_transform(string_split({low}, chr(10)), lambda x: CASE WHEN {statement} THEN '' ELSE x END), chr(10))"
         spaced = rf"trim(regexp_replace({plain}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
         return f"sha256(array_to_string(list_transform(string_split({spaced}, ' '), lambda w: coalesce(m[w], w)), ' '))"
 

@@ -599,3 +599,24 @@ def test_exact_dedup_digest_and_many_repeats_of_one_row(spark):
     assert len(got) == 54 and sum(r.kept for r in got) == 3
     assert all(r.sha == hashlib.sha256((r.text or "").lower().encode()).hexdigest() for r in got)
     assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 51), (0, 1, 51), (2, 2, 2), (3, 3, 1)}
+
+
+def test_license_scan_equals_its_twin_on_titled_and_rewrapped_files(spark, tmp_path):
+    import duckdb
+
+    from gramloom.llm.licences import TEXTS, TITLES
+
+    texts = []
+    for name, text in TEXTS.items():
+        titles = TITLES.get(name, [])
+        texts += [text, text.upper(), f"Copyright (c) 2020 A. Holder\n\n{text}", *[f"{t}\n\nCopyright 2001-2004 by Some One, all rights reserved\n{text}" for t in titles]]
+        texts += ["\n".join(textwrap.wrap(text, w)) for w in (30, 47, 78)]
+    texts += ["copyright notice and this\nx", "copyrights: holder's name\nx", "copyright holders\nx", "copyright  noticed\nx", "# (C) me\nx", "copyright: \nx", "copyright -x\ny", "© x\ny", None, ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = licensescan.op10_license_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({licensescan.SQL})").fetchall()
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want)
+    assert sum(bool(r[2]) for r in rows) >= len(TEXTS) * 5
