@@ -99,6 +99,16 @@ def ml_07(spark, sf):
     return ft.vector_cluster_features(bags, assign).groupBy("doc_id").agg(F.sum("value").alias("value"))
 
 
+@query("ml_07_cluster_histogram")
+def ml_07_histogram(spark, sf):
+    """Clusters of word vectors per document, from two-level k-means with 500 clusters: (doc_id, feature, value)."""
+    df = _tokens(spark, sf)
+    bags = settled(vocab.doc_term_counts(df, "doc_id", F.col("t")))
+    _, vectors = m.fit_vectors(df, "t", vocab.corpus_counts(bags), size=50, iterations=1)
+    assign, _ = m.cluster_vectors_by_cells(checkpointed(vectors), k=500)
+    return ft.vector_cluster_features(bags, assign)
+
+
 def _topic(df, classifier, **kw):
     stages = m.topic_stages([m.count_vectorizer("t", "f", 1000, **kw)], ["f"], classifier, "l2")
     return stages, m.label_indexer().fit(df).transform(df)
