@@ -34,16 +34,20 @@ def plain_alphabet(c: Column | str) -> Column:
     return F.regexp_replace(text, "[^a-z]+", " ")
 
 
+# Fixed values of the established sentence form: characters that stay, clitics, marks set off, marks set off with a backslash.
+SENTENCE_OTHERS, CLITICS, SET_OFF, BACKSLASHED = r"[^A-Za-z0-9(),!?'`]", r"('s|'ve|n't|'re|'d|'ll)", r"([,!])", r"([()?])"
+
+
 def clean_sentence(c: Column | str) -> Column:
     """Sentence form: clitics and punctuation set off by spaces, lower case.
 
     Brackets and question marks keep the backslash that the established form of this
     normaliser puts before them, so vocabularies stay comparable.
     """
-    text = F.regexp_replace(as_col(c), r"[^A-Za-z0-9(),!?'`]", " ")
-    text = F.regexp_replace(text, r"('s|'ve|n't|'re|'d|'ll)", " $1")
-    text = F.regexp_replace(text, r"([,!])", " $1 ")
-    text = F.regexp_replace(text, r"([()?])", r" \\$1 ")
+    text = F.regexp_replace(as_col(c), SENTENCE_OTHERS, " ")
+    text = F.regexp_replace(text, CLITICS, " $1")
+    text = F.regexp_replace(text, SET_OFF, " $1 ")
+    text = F.regexp_replace(text, BACKSLASHED, r" \\$1 ")
     return F.lower(F.trim(F.regexp_replace(text, r"\s{2,}", " ")))
 
 
