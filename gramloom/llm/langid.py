@@ -37,9 +37,10 @@ def _letters() -> np.ndarray:
 
 def _grams(column: pa.Array, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n-gram hash, text of each, whether each text has a letter): lower case, other characters as one space."""
-    low = "\n".join(t.lower().replace("\n", " ") for t in pc.fill_null(column, "").to_pylist())
+    low = " \n ".join(t.lower().replace("\n", " ") for t in pc.fill_null(column, "").to_pylist())
     points = np.frombuffer(f" {low} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    text = np.cumsum(points == 10)
+    mark = points == 10  # between texts, each of which has a space of its own at both ends
+    text, points = np.cumsum(mark)[~mark], points[~mark]
     points = np.where(_letters()[points], points, 0).astype(np.uint64)
     # one space between words and texts: n-grams begin or end with it, but never reach into the next text
     keep = np.flatnonzero((points != 0) | np.concatenate(([True], points[:-1] != 0)) | np.concatenate(([True], text[1:] != text[:-1])))
