@@ -190,9 +190,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
     signed = source.where("id is not null").mapInArrow(_signatures(n, rows, bands), "id bigint, n_grams bigint, h1 bigint, h2 bigint, bands array<bigint>")
     signed = kept(signed, "jaccard-sets")
-    # a set is a node, named by its row in this table
     nodes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    nodes = kept(nodes.withColumn("row", F.monotonically_increasing_id()), "jaccard-nodes")
+    # a set is a node, named by its smallest id, or by its row in this table where ids have several sets
+    by_id = nodes.groupBy("low_id").count().where("count > 1").isEmpty()
+    nodes = nodes.withColumn("node", F.col("low_id" if by_id else "row")).drop("row")
 
     # stars: every member of a bucket to its smallest; buckets of one never leave the count
     buckets = nodes.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c"))
@@ -214,9 +216,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     checked = kept(met.mapInArrow(_verify(threshold), "node bigint, texts bigint, rows bigint, root bigint"), "jaccard-links")
     counts = checked.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
     classes = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-classes")
-    # of a class, the smallest id of its members
-    lowest = classes.join(nodes.select("node", "low_id"), "node").groupBy("comp").agg(F.min("low_id").alias("class"))
-    classes = classes.join(lowest, "comp").select("node", "class")
+    if by_id:
+        classes = classes.withColumnRenamed("comp", "class")
+    else:  # of a class, the smallest id of its members
+        lowest = classes.join(nodes.select("node", "low_id"), "node").groupBy("comp").agg(F.min("low_id").alias("class"))
+        classes = classes.join(lowest, "comp").select("node", "class")
     linked = kept(
         nodes.select("h1", "h2", "node", "low_id", "copies").join(counts, "node", "left").join(classes, "node", "left")
         .where("copies > 1 or texts > 0")
