@@ -12,8 +12,8 @@ import __spark_entry__ as entry  # noqa: E402
 from check import TABLES, rows  # noqa: E402
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# dozens of fits, minutes even on the smallest tables; tests/test_crossval.py and tests/test_operators.py run the same code on smaller ones
-SLOW = {"ml_18_experiments", "ml_19_replication_matrix"}
+# dozens of fits, minutes even on the smallest tables; tests/test_crossval.py, tests/test_topics.py and tests/test_operators.py run the same code on smaller ones
+SLOW = {"ml_05_topic_errors", "ml_18_experiments", "ml_19_replication_matrix"}
 
 
 @pytest.fixture(scope="module")
