@@ -22,13 +22,13 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     The floor is the lowest percentile of the scores of labelled rows of the predicted language, never above
     MIN_LANGUAGE_SHARE: where n-grams repeat little (no spaces, short texts) it is lower. Filters and floors are learned
-    from a sample of the labelled rows of each language; a language without rows of a length is judged by all its rows.
+    from all labelled rows; a language without rows of a length is judged by all its rows. Every text is identified once.
     """
-    filters = fit_language_filters(docs)
-    floors = kept(score_floors(docs, filters), "language-floors")
+    scored = kept(identify(docs, fit_language_filters(docs)), "languages")
+    floors = kept(score_floors(scored), "language-floors")
     by_size = floors.where("size is not null").select(F.col("lang_pred").alias("_l"), F.col("size").alias("_s"), F.col("floor").alias("_by_size"))
     by_lang = floors.where("size is null").select(F.col("lang_pred").alias("_lang"), F.col("floor").alias("_by_lang"))
-    found = identify(docs, filters).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    found = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
     found = found.join(F.broadcast(by_size), (F.col("_l") == F.col("lang_pred")) & (F.col("_s") == size_class()), "left")
     found = found.join(F.broadcast(by_lang), F.col("_lang") == F.col("lang_pred"), "left")
     floor = F.least(F.lit(MIN_LANGUAGE_SHARE), F.coalesce("_by_size", "_by_lang", F.lit(MIN_LANGUAGE_SHARE)))

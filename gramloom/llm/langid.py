@@ -23,10 +23,11 @@ from gramloom.llm.words import mix, ngrams
 ORDERS = (3, 4)
 MIN_SHARE = 2e-5
 SLOTS = 1 << 21
-SAMPLE_DOCS = 10_000
+FLOOR_ACCURACY = 100_000
+TEXT_BYTES = 1 << 18
 PROBES = 3
 UNKNOWN = "und"
-_HELD = 1 << 20  # distinct n-grams that a counting task holds at once
+_HELD = 1 << 18  # distinct n-grams that a counting task holds at once
 
 
 @functools.lru_cache(maxsize=1)
@@ -76,7 +77,7 @@ def _counts(languages: list[str], orders: tuple[int, ...]):
             held[i], size[i] = [], 0
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-        for part in pieces(batches, 1):
+        for part in pieces(batches, 1, TEXT_BYTES):
             of_text = pc.index_in(part.column(0), number).to_numpy(zero_copy_only=False)
             keys, owner, _ = _grams(part.column(1), orders)
             of_gram = of_text[owner]
@@ -133,10 +134,10 @@ class LanguageFilters:
 
 
 def fit_language_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", orders: tuple[int, ...] = ORDERS,
-                         min_share: float = MIN_SHARE, slots: int = SLOTS, probes: int = PROBES, sample_docs: int | None = SAMPLE_DOCS) -> LanguageFilters:
+                         min_share: float = MIN_SHARE, slots: int = SLOTS, probes: int = PROBES, sample_docs: int | None = None) -> LanguageFilters:
     """Filters of every language's n-grams that make up at least `min_share` of its n-grams.
 
-    Of each language about `sample_docs` rows are counted, those with the lowest hashes of `key`; None counts all.
+    All rows are counted; with `sample_docs` about so many of each language, those with the lowest hashes of `key`.
     Rows without language or text count for nothing. A language keeps at most 1 / min_share n-grams, whatever the
     size of the corpus, so what comes to the driver is bounded by languages / min_share and the filter by
     slots x 8 bytes for each 64 languages. `slots` is a power of two.
@@ -163,7 +164,7 @@ def fit_language_filters(labelled: DataFrame, lang: str = "lang", text: str = "t
 def _predictions(shared, names: list[str], text: int):
     def run(batches):
         model = shared.value
-        for part in pieces(batches, text):
+        for part in pieces(batches, text, TEXT_BYTES):
             share, has_letter = model.shares(part.column(text))
             if model.languages:
                 best = share.argmax(axis=0)
@@ -191,22 +192,16 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", carr
     return source.mapInArrow(_predictions(shared, source.columns, len(source.columns) - 1), schema)
 
 
-def score_floors(labelled: DataFrame, filters: LanguageFilters, lang: str = "lang", text: str = "text", key: str = "doc_id",
-                 sample_docs: int = SAMPLE_DOCS, share: float = 0.01) -> DataFrame:
+def score_floors(scored: DataFrame, lang: str = "lang", text: str = "text", share: float = 0.01) -> DataFrame:
     """(lang_pred, size, floor): the score that all but `share` of a language's own rows of a length reach.
 
-    `size` is `size_class` of the text, null for the floor of a language over all lengths. Of each language about
-    `sample_docs` labelled rows are scored, those with the highest hashes of `key`, far from the lowest that filters
-    are learned from; rows identified as another language count for nothing. Of fewer than 1 / share rows the
-    lowest score is the floor.
+    `scored` are all rows of `identify`. `size` is `size_class` of the text, null for the floor of a language over all
+    lengths. Every labelled row counts, but those identified as another language. Of fewer than 1 / share rows the
+    lowest score is the floor. The rank of a floor is exact within 1 / FLOOR_ACCURACY of the rows.
     """
-    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(key).alias("h")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    if sizes:
-        least = F.create_map(*[F.lit(x) for i, n in sizes.items() for x in (i, int((1 << 30) * (1 - min(1.0, sample_docs / n))))])
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) >= least[F.col("l")])
-    found = identify(rows.select("l", "t", size_class("t").alias("size")), filters, "t", ["l", "size"]).where("l = lang_pred")
-    return found.rollup("lang_pred", "size").agg(F.percentile_approx("score", share).alias("floor")).where("lang_pred is not null")
+    found = scored.where(F.col(text).isNotNull() & (F.col(lang) == F.col("lang_pred"))).select("lang_pred", size_class(text).alias("size"), "score")
+    floors = found.rollup("lang_pred", "size").agg(F.percentile_approx("score", share, FLOOR_ACCURACY).alias("floor"))
+    return floors.where("lang_pred is not null")
 
 
 def size_class(text: str = "text") -> Column:

@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gramloom.llm.langid import fit_language_filters
+from pyspark.sql import functions as F
+
+from gramloom.llm.langid import fit_language_filters, score_floors
 
 SHARE = 1e-3
 
@@ -49,3 +51,17 @@ def test_shares_equal_plain_sets_and_no_stored_ngram_is_missed(spark, n_langs):
             assert (got[i, j] * (1 - model.chance[i]) + model.chance[i]) >= plain - 1e-9 or got[i, j] == 1
             assert abs(got[i, j] - plain) < 0.02
     assert np.all(model.chance < 1e-3)
+
+
+def test_filters_and_floors_count_every_labelled_row(spark):
+    common, rare = "the water of the river and the stone", "zyx wvu qpo"
+    # a fifth of the rows, those of the highest hashes, which the 10,000 of the lowest leave out
+    last = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) >= int((1 << 30) * 0.85)
+    docs = spark.range(12_500).select(F.col("id").alias("doc_id"), F.when(last, rare).otherwise(common).alias("text"), F.lit("en").alias("lang"))
+    model = fit_language_filters(docs)
+    assert min(model.shares(pa.array([common, rare]))[0][0]) > 0.9
+    scored = docs.select("text", "lang", F.lit("en").alias("lang_pred"), ((F.when(last, 20_000).otherwise(0) + F.col("doc_id")) / 40_000).alias("score"))
+    own = sorted(scored.select("score").toPandas()["score"])
+    short = sorted(scored.where(F.col("text") == rare).select("score").toPandas()["score"])
+    floors = {r["size"]: r["floor"] for r in score_floors(scored, share=0.01).collect()}
+    assert floors[None] == own[124] and floors[3] == short[-(-len(short) // 100) - 1]
