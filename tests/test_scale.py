@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 from gramloom.operators import features, joins
+from gramloom.session import by_key
 
 
 def plan_of(df):
@@ -45,3 +46,10 @@ def test_only_rare_keys_of_a_large_dictionary_are_shuffled(spark):
     assert sorted((r.doc_id, r.token, r.v) for r in got.collect()) == want
     assert "Union" in plan_of(got) and "BroadcastHashJoin" in plan_of(got)
     assert joins.join_dictionary(left, right, limit=0).count() == len(want)
+
+
+def test_parts_follow_the_measured_size(spark):
+    # the planner takes the join for the product of both sides
+    few = spark.range(100_000).join(spark.range(99_990, 200_000), "id")
+    parts = by_key(few, "id")
+    assert parts.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and parts.count() == 10
