@@ -6,13 +6,13 @@ from pyspark.ml.feature import MinMaxScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from gramloom.functions.tokens import analyze, char_gram_range, word_ngrams
+from gramloom.functions.tokens import analyze, char_gram_range
 from gramloom.functions.text import plain_alphabet
 from gramloom.operators import clusters as cl
 from gramloom.operators import evaluation as ev
 from gramloom.operators import features as ft
 from gramloom.operators import joins as jn
-from gramloom.operators import vocab
+from gramloom.operators import ngrams, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, pages, query, table
 from gramloom.session import settled
@@ -316,7 +316,7 @@ _NG = f"""tok AS (SELECT doc_id, {k.words('text')} AS a FROM documents),
 WITH {_NG}, c AS (SELECT token, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM (SELECT doc_id, token, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1)
 SELECT token, tf, df FROM c ORDER BY tf DESC, token LIMIT 500000""")
 def ml_04(spark, sf):
-    counts = vocab.term_counts(_docs(spark, sf), "doc_id", word_ngrams("_base", 1, 5), base=analyze("text"))
+    counts = ngrams.frequent_ngrams(_docs(spark, sf), "doc_id", analyze("text"), 1, 5, 500_000)
     return vocab.top_features(counts, _n(spark, sf), 500_000)
 
 
