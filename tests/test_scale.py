@@ -53,3 +53,14 @@ def test_parts_follow_the_measured_size(spark):
     few = spark.range(100_000).join(spark.range(99_990, 200_000), "id")
     parts = by_key(few, "id")
     assert parts.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and parts.count() == 10
+
+
+def test_dictionaries_beyond_a_broadcast_go_in_slices(spark):
+    """Tokens are not shuffled, so the vector sums of a document are made where its tokens lie."""
+    tokens = spark.createDataFrame([(d, f"w{(d * 7 + i) % 90}", 1) for d in range(60) for i in range(20)] + [(1, None, 1)], "doc_id int, token string, tf int")
+    vectors = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(5, 200)] + [(None, [1.0, 1.0])], "token string, vec array<double>")
+    vectors = vectors.repartition(4)
+    got = joins.join_dictionary(tokens, vectors, limit=2000)
+    want = tokens.join(vectors, "token")
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    assert "Exchange hashpartitioning" not in plan_of(got) and "Union" in plan_of(got)
