@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from gramloom.operators import features, joins
+from gramloom.operators import features, joins, wiki
 from gramloom.session import by_key
 
 
@@ -64,3 +64,12 @@ def test_dictionaries_beyond_a_broadcast_go_in_slices(spark):
     want = tokens.join(vectors, "token")
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
     assert "Exchange hashpartitioning" not in plan_of(got) and "Union" in plan_of(got)
+
+
+def test_links_with_many_pipes(spark):
+    """A link without an end, and one with an end, before thousands of pipes; each took stack for every pipe."""
+    pipes = "a |" * 20_000
+    texts = ["[[open " + pipes + " z", "[[x|" + pipes + " b ]] y", "[[x|b [[y|c ]] ]]", "[[|]]", "[[a| | c d  ]]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r["clean"] for r in wiki.clean_pages(df, "t").orderBy("id").select("clean").collect()]
+    assert got == ["[[open " + pipes + " z", "b y", "b c", "", "c d"]
