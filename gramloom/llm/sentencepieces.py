@@ -218,7 +218,7 @@ class PieceModel:
         new = words.difference(self.memo)
         if not self.rules.units and not self.trim and self.prefix and self.space == SPACE:
             plain = [w for w in new if w[0] == SPACE and 1 < len(w) <= LONG_WORD and w[1] != SPACE]
-            for w, ids in zip(plain, self.library.encode([w[1:] for w in plain])):
+            for w, ids in zip(plain, self.library.encode([w[1:] for w in plain], num_threads=1)):
                 self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
             new.difference_update(plain)
         for w in new:
@@ -282,8 +282,13 @@ def _decoded(model_path: str, names: list[str], ids: str):
             lists = batch.column(names.index(ids))
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                known = pc.fill_null(lists.slice(lo, 200), pa.scalar([], lists.type)).to_pylist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(library.decode(known), pa.string())], names=[*names, "decoded"])
+                known = pc.fill_null(lists.slice(lo, 200), pa.scalar([], lists.type))
+                offsets = known.offsets.to_numpy()
+                flat = known.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).tolist()
+                cuts = (offsets - offsets[0]).tolist()
+                # one list at a time: the library's own threads cost more than they save inside a task
+                texts = [library.decode(flat[a:b]) if a < b else "" for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return run
 
