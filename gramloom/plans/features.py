@@ -6,8 +6,9 @@ from pyspark.ml.feature import MinMaxScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from gramloom.functions.tokens import analyze, char_gram_range
+from gramloom.functions.tokens import analyze
 from gramloom.functions.text import plain_alphabet
+from gramloom.operators import chargrams
 from gramloom.operators import clusters as cl
 from gramloom.operators import evaluation as ev
 from gramloom.operators import features as ft
@@ -324,7 +325,7 @@ def ml_04(spark, sf):
 WITH c AS ({k.term_counts(k.grams('lower(text)', 4))})
 SELECT token, tf, df FROM c WHERE df >= 5 AND df <= {N} * 0.5""")
 def ml_04_chars(spark, sf):
-    counts = vocab.term_counts(_docs(spark, sf), "doc_id", char_gram_range(F.lower("text"), 4, 4))
+    counts = chargrams.gram_counts(_docs(spark, sf), F.lower("text"), 4, 4)
     return vocab.top_features(counts, _n(spark, sf), None, 5, 0.5)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.functions import text as t
 from gramloom.functions import tokens as tk
-from gramloom.operators import filters, order, textops, vocab
+from gramloom.operators import chargrams, filters, order, textops, vocab
 from gramloom.plans import sqlkit as k
 from gramloom.plans.base import documents, pages, query, table
 from gramloom.session import settled, spread
@@ -63,8 +66,11 @@ def _preset_sql(parts):
 
 
 def _preset(spark, sf, orders):
-    grams = _docs(spark, sf).select(F.explode(tk.recipe(orders)(F.col("text"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+    """Counts of the grams that `tk.recipe` gives for these orders, made from the clean text."""
+    clean = _docs(spark, sf).select(tk.recipe()(F.col("text")).alias("text"))
+    ranges = map(tk.bounds, orders if isinstance(orders, list) else [orders])
+    counts = reduce(DataFrame.unionByName, [chargrams.gram_counts(clean, F.col("text"), lo, hi) for lo, hi in ranges])
+    return counts.groupBy(F.col("token").alias("gram")).agg(F.sum("tf").alias("n"))
 
 
 for _name, _orders in tk.PRESETS.items():
