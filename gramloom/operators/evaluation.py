@@ -38,6 +38,16 @@ def binarize(df: DataFrame, topics: str, names: list[str]) -> DataFrame:
     return df.select("*", *[F.array_contains(topics, n).cast("int").alias(n) for n in names])
 
 
+# rows of a block at most (vectors of 64 numbers then take 32 MB), and scores that a task holds at a time
+BLOCK_ROWS = 1 << 16
+SCORES = 1 << 24
+
+
+def _n_blocks(n: int, block: int, cores: int) -> int:
+    """Blocks of `n` rows: as few as keep all cores busy and within BLOCK_ROWS, as every row is copied for each block of the other side; none below `block` rows."""
+    return max(1, min(math.ceil(n / block), max(math.ceil(n / BLOCK_ROWS), math.ceil(math.sqrt(4 * cores)))))
+
+
 def analogy_accuracy(vectors: DataFrame, questions: DataFrame, cutoff: int | None = None, block: int = 4096) -> DataFrame:
     """Correct answers to a : b = c : ? by section and in total.
 
@@ -55,13 +65,14 @@ def analogy_accuracy(vectors: DataFrame, questions: DataFrame, cutoff: int | Non
     q = join_dictionary(q, words.select(F.col("token").alias("expected")), "expected")
     target = F.zip_with(F.zip_with("v_b", "v_a", lambda x, y: x - y), "v_c", lambda x, y: x + y)
     n_words = (words.agg(F.max("id")).first()[0] or 0) + 1
-    n_blocks = math.ceil(n_words / block)
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    n_blocks = _n_blocks(n_words, block, cores)
     targets = settled(q.select(*asked, "times", target.alias("vec")))
     # ids fill the word blocks; questions are spread over as many blocks as needed
-    n_q = max(1, math.ceil(targets.count() / block))
+    n_q = _n_blocks(targets.count(), block, cores)
     left = targets.withColumn("qb", F.pmod(F.xxhash64(*asked), F.lit(n_q))).withColumn(
         "wb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = words.withColumn("wb", F.floor(F.col("id") / block).cast("int")).withColumn(
+    right = words.withColumn("wb", F.floor(F.col("id") / math.ceil(n_words / n_blocks)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
 
     def score(qs: pd.DataFrame, ws: pd.DataFrame) -> pd.DataFrame:
@@ -70,14 +81,19 @@ def analogy_accuracy(vectors: DataFrame, questions: DataFrame, cutoff: int | Non
         ws = ws.sort_values("id")
         tokens = ws["token"].to_numpy()
         place = {t: i for i, t in enumerate(tokens)}
-        sims = np.stack(qs["vec"].to_numpy()) @ np.stack(ws["vec"].to_numpy()).T
-        for row, given in enumerate(zip(qs["a"], qs["b"], qs["c"])):
-            hits = [place[t] for t in given if t in place]
-            sims[row, hits] = -np.inf
-        best = sims.argmax(axis=1)
+        there, asked_for = np.stack(ws["vec"].to_numpy()).T, np.stack(qs["vec"].to_numpy())
+        given = list(zip(qs["a"], qs["b"], qs["c"]))
+        best, top = np.zeros(len(qs), dtype=np.int64), np.zeros(len(qs))
+        step = max(1, SCORES // len(ws))
+        for lo in range(0, len(qs), step):
+            sims = asked_for[lo:lo + step] @ there
+            for row, three in enumerate(given[lo:lo + step]):
+                sims[row, [place[t] for t in three if t in place]] = -np.inf
+            at = sims.argmax(axis=1)
+            best[lo:lo + step], top[lo:lo + step] = at, sims[np.arange(len(sims)), at]
         out = qs[[*asked, "times"]].copy()
         out["best"] = tokens[best]
-        out["score"] = sims[np.arange(len(qs)), best]
+        out["score"] = top
         return out[np.isfinite(out["score"])]
 
     schema = ", ".join(f"{c} string" for c in asked) + ", times bigint, best string, score double"
