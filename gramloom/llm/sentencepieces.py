@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from gramloom.llm.tables import pieces, table
 
 SPACE = "▁"
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
+SLICE_BYTES = 1 << 18  # words, places and spans of a slice take some hundred times its size
 LONG_WORD = 64
 # fixed values: field numbers and type codes of the public model format
 _PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -253,7 +254,7 @@ def _encoded(model_path: str):
 
     def run(batches):
         model = load_model(model_path)
-        for part in pieces(batches, 0):
+        for part in pieces(batches, 0, SLICE_BYTES):
             texts = pc.fill_null(part.column(0), "").to_pylist()
             rows = model.encode_all(texts)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))).astype(np.int32))
