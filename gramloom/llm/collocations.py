@@ -26,9 +26,10 @@ from gramloom.llm.words import mix
 from gramloom.session import checkpointed
 
 UNDETERMINED = "und"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 FILTER_BITS = 1 << 27
-HELD_HASHES = 2_000_000
+HELD_HASHES = 1_000_000
+BATCH_ROWS = 1 << 16
 SALTS = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -95,7 +96,10 @@ def _hash_counts(filters: dict[int, np.ndarray], sizes: range):
 
     def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+        held.clear()
+        # a batch is held outside the heap of the executor as a whole
+        for lo in range(0, len(keys), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[lo:lo + BATCH_ROWS].view(np.int64)), pa.array(n[lo:lo + BATCH_ROWS].astype(np.int64))], names=["hash", "n"])
 
     def run(batches):
         held, size_held = [], 0
@@ -105,9 +109,9 @@ def _hash_counts(filters: dict[int, np.ndarray], sizes: range):
             for size in sizes:
                 held.append(_phrase(hashes, _places(words, hashes, filters, size), size))
                 size_held += len(held[-1])
-            if size_held > HELD_HASHES:
-                yield from told(held)
-                held, size_held = [], 0
+                if size_held > HELD_HASHES:
+                    yield from told(held)
+                    size_held = 0
         if size_held:
             yield from told(held)
 
@@ -135,12 +139,13 @@ def _phrase_counts(filters: dict[int, np.ndarray], sizes: range):
                 for j in range(size):
                     rank, first = _ranks(rank, words.codes[at + j], len(words.names))
                 n = np.bincount(rank)
-                chosen = at[first]
-                codes = (chosen[:, None] + np.arange(size)).ravel()
-                flat = words.names.take(pa.array(words.codes[codes]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(codes) + 1, size, dtype=np.int32)), flat)
-                langs = pa.array(words.langs).cast(pa.string()).take(pa.array(words.lang[chosen]))
-                yield pa.RecordBatch.from_arrays([langs, lists, pa.array(n.astype(np.int64))], names=["lang", "words", "n"])
+                for lo in range(0, len(n), BATCH_ROWS):
+                    chosen = at[first[lo:lo + BATCH_ROWS]]
+                    codes = (chosen[:, None] + np.arange(size)).ravel()
+                    flat = words.names.take(pa.array(words.codes[codes]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(codes) + 1, size, dtype=np.int32)), flat)
+                    langs = pa.array(words.langs).cast(pa.string()).take(pa.array(words.lang[chosen]))
+                    yield pa.RecordBatch.from_arrays([langs, lists, pa.array(n[lo:lo + BATCH_ROWS].astype(np.int64))], names=["lang", "words", "n"])
 
     return run
 

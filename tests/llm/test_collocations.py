@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,27 @@ def dropped(text):
     words = text.split()
     f = Counter(tuple(words[i:i + m]) for m in range(2, 6) for i in range(len(words) - m + 1))
     return {p for p in f if len(p) < 5 and any(f[q] == f[p] for q in f if len(q) == len(p) + 1 and (q[:-1] == p or q[1:] == p))}
+
+
+def test_hash_counts_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(co, "BATCH_ROWS", 7)
+    monkeypatch.setattr(co, "HELD_HASHES", 20)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(20)]
+    part = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 20})
+    got = list(co._hash_counts({}, range(1, 3))(iter([part])))
+    assert max(b.num_rows for b in got) <= 7
+    count = Counter()
+    for b in got:
+        count.update(dict(zip(b.column(0).to_pylist(), [0] * b.num_rows)))
+        for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            count[key] += n
+    want = Counter(p for t in texts for m in (1, 2) for p in zip(*[t.split()[j:] for j in range(m)]))
+    assert sorted(count.values()) == sorted(want.values())
+    phrases = list(co._phrase_counts({}, range(1, 3))(iter([part])))
+    assert max(b.num_rows for b in phrases) <= 7
+    told = Counter()
+    for b in phrases:
+        for words, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            told[tuple(words)] += n
+    assert told == want
