@@ -22,17 +22,20 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     The floor is the lowest percentile of the scores of labelled rows of the predicted language, never above
     MIN_LANGUAGE_SHARE: where n-grams repeat little (no spaces, short texts) it is lower. Filters and floors are learned
-    from all labelled rows; a language without rows of a length is judged by all its rows. Every text is identified once.
+    from all labelled rows; a language without rows of a length is judged by all its rows. Every text is identified once;
+    scores are written without the texts.
     """
-    scored = kept(identify(docs, fit_language_filters(docs)), "languages")
-    floors = kept(score_floors(scored), "language-floors")
+    rows, _ = numbered(docs)
+    sized = rows.withColumn("_size", F.when(F.col("text").isNotNull(), size_class()))
+    scored = kept(identify(sized, fit_language_filters(docs), carry=["_row", "lang", "_size"]), "languages")
+    floors = kept(score_floors(scored, size="_size"), "language-floors")
     by_size = floors.where("size is not null").select(F.col("lang_pred").alias("_l"), F.col("size").alias("_s"), F.col("floor").alias("_by_size"))
     by_lang = floors.where("size is null").select(F.col("lang_pred").alias("_lang"), F.col("floor").alias("_by_lang"))
-    found = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
-    found = found.join(F.broadcast(by_size), (F.col("_l") == F.col("lang_pred")) & (F.col("_s") == size_class()), "left")
+    found = scored.join(F.broadcast(by_size), (F.col("_l") == F.col("lang_pred")) & (F.col("_s") == F.col("_size")), "left")
     found = found.join(F.broadcast(by_lang), F.col("_lang") == F.col("lang_pred"), "left")
     floor = F.least(F.lit(MIN_LANGUAGE_SHARE), F.coalesce("_by_size", "_by_lang", F.lit(MIN_LANGUAGE_SHARE)))
-    return found.where(F.col("score") >= floor).select(*docs.columns)
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= floor)
+    return without(rows, found.where(~F.coalesce(known, F.lit(False))), "unknown-language", "_row").select(*docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:

@@ -192,14 +192,16 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", carr
     return source.mapInArrow(_predictions(shared, source.columns, len(source.columns) - 1), schema)
 
 
-def score_floors(scored: DataFrame, lang: str = "lang", text: str = "text", share: float = 0.01) -> DataFrame:
+def score_floors(scored: DataFrame, lang: str = "lang", text: str = "text", share: float = 0.01, size: str | None = None) -> DataFrame:
     """(lang_pred, size, floor): the score that all but `share` of a language's own rows of a length reach.
 
     `scored` are all rows of `identify`. `size` is `size_class` of the text, null for the floor of a language over all
     lengths. Every labelled row counts, but those identified as another language. Of fewer than 1 / share rows the
-    lowest score is the floor. The rank of a floor is exact within 1 / FLOOR_ACCURACY of the rows.
+    lowest score is the floor. The rank of a floor is exact within 1 / FLOOR_ACCURACY of the rows. Where `scored` has no
+    texts, `size` names the column of their size classes, null for null texts.
     """
-    found = scored.where(F.col(text).isNotNull() & (F.col(lang) == F.col("lang_pred"))).select("lang_pred", size_class(text).alias("size"), "score")
+    of = F.col(size) if size else F.when(F.col(text).isNotNull(), size_class(text))
+    found = scored.where(F.col(lang) == F.col("lang_pred")).select("lang_pred", of.alias("size"), "score").where("size is not null")
     floors = found.rollup("lang_pred", "size").agg(F.percentile_approx("score", share, FLOOR_ACCURACY).alias("floor"))
     return floors.where("lang_pred is not null")
 

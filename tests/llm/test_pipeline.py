@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gramloom.llm.langid import fit_language_filters, identify
 from gramloom.llm.sentencepieces import load_model, model_file
@@ -106,3 +108,16 @@ def test_decontamination_query_counts_items_without_id_as_its_twin_does(spark, t
     got = decontamination.op9_decontamination(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({decontamination.SQL})").fetchall())
     assert [r.n_hit for r in got.orderBy("doc_id").collect()] == [14, 28, 0]
+
+
+def test_language_stage_writes_scores_without_texts(spark, tmp_path, monkeypatch):
+    written = {}
+    real = corpus_pipeline.kept
+    monkeypatch.setattr(corpus_pipeline, "kept", lambda df, name: written.setdefault(name, df.columns) and real(df, name))
+    docs = spark.createDataFrame([(i, f"the house by the river {i % 3}", "en", "s", 24) for i in range(9)] + [(20, None, "en", "s", None), (21, "", "de", "s", 0)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs, "").collect()} == set(range(9))
+    assert "languages" in written and "text" not in written["languages"] and "numbered" not in written
+    # rows of one id, or without one, stay or go one by one
+    docs = docs.withColumn("doc_id", F.expr("CASE WHEN doc_id >= 20 THEN 1 WHEN doc_id = 5 THEN NULL ELSE doc_id END"))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_unknown_language(spark, docs, "").collect()), key=str)
+    assert got == sorted(((None if i == 5 else i, f"the house by the river {i % 3}") for i in range(9)), key=str)
